@@ -59,7 +59,7 @@ class Roll:
     def windows(self, width: int) -> np.ndarray:
         """Hashes of every span of this width, by start."""
         n = max(0, len(self.acc) - width)
-        return mix((self.acc[width : width + n] - self.acc[:n]) * self.inverse[:n] + U64(width) * U64(0x9E3779B97F4A7C15)) if n else np.zeros(0, U64)
+        return mix((self.acc[width : width + n] - self.acc[:n]) * self.inverse[:n] + U64(width * 0x9E3779B97F4A7C15 % (1 << 64))) if n else np.zeros(0, U64)
 
 
 def buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -192,3 +192,28 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
     """(doc_id, fingerprint, component_id) for every row of docs."""
     fps = checkpointed(fingerprints(docs, shingle, seed))
     return fps.join(components_of(fps, distance), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """docs with one document of each near-duplicate group: the one with the smallest doc_id.
+
+    Rows that share a doc_id are one document, of which the least row stays. A group without any doc_id keeps its least row.
+    """
+    fps = checkpointed(fingerprints(docs, shingle, seed))
+    groups = checkpointed(components_of(fps, distance))
+    row = F.struct(*(F.col(f"`{c}`") for c in ["text", *(c for c in docs.columns if c != "text")]))
+    kept = groups.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row"))
+    unnamed = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), row.alias("row"), F.col("text"))
+    lone = unnamed.mapInArrow(_with_fingerprint(shingle, seed), unnamed.drop("text").schema.add("fp", "long"))
+    lone = lone.join(groups.where("component_id is null"), "fp", "left_semi").groupBy("fp").agg(F.min("row").alias("row"))
+    return named.select("row").unionAll(lone.select("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _with_fingerprint(shingle: int, seed: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bits.slices(batch, "text", SLICE):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(fingerprint_array(part.column("text"), shingle, seed).view(np.int64))], ["doc_id", "row", "fp"])
+
+    return run
