@@ -68,9 +68,11 @@ def _slices(table: pa.Table, length: int, gram: int) -> Iterator[Words]:
 
 def _least(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct sorted keys, the least doc of each, and whether it has another."""
+    if not len(key):
+        return key, doc, np.zeros(0, bool)
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     last = np.append(first[1:], len(key)) - 1
     return key[first], doc[first], doc[first] != doc[last]
 

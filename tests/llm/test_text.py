@@ -1,0 +1,154 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import sentencepiece
+from sentencepiece import sentencepiece_model_pb2 as pb
+
+from quillgrid.llm import decontaminate, lm, pages, pieces, quality
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def samples() -> list[str]:
+    draw = random.Random(4)
+    alphabet = ["the ", " of", "ing", "é", "ß", "  ", "   ", "\n", "\t", "日本", "😀", "don't", "123", "▁", " ", "aaaa", "ABC", "tion", ".", ", "]
+    return ["", " ", "  a", "a  ", "\n\n", "Hello world"] + ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 40))) for _ in range(400)]
+
+
+def test_bpe_pieces_are_the_librarys():
+    with open(pieces.MODEL, "rb") as f:
+        proto = f.read()
+    own, texts = pieces.Pieces(proto), samples()
+    ids, offsets = own.encode(pa.array(texts))
+    want = sentencepiece.SentencePieceProcessor(model_proto=proto).encode(texts)
+    got = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    assert got == want, [(t, g, w) for t, g, w in zip(texts, got, want) if g != w][:3]
+    back, at = own.decode(ids, offsets)
+    for t, a, b in zip(texts, at, at[1:]):
+        assert back[a:b].tobytes().decode() == t.replace("▁", " ")
+
+
+def test_unigram_pieces_have_the_librarys_score():
+    model = pb.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = pieces.UNIGRAM
+    for k, p in enumerate(model.pieces):
+        if p.type == pieces.NORMAL:
+            p.score = -5.0 - (k % 977) / 100
+    proto = model.SerializeToString()
+    own, library = pieces.Pieces(proto), sentencepiece.SentencePieceProcessor(model_proto=proto)
+    texts = [t for t in samples() if "日" not in t and "😀" not in t]
+    ids, offsets = own.encode(pa.array(texts))
+    for t, w, a, b in zip(texts, library.encode(texts), offsets, offsets[1:]):
+        worth = lambda x: sum(model.pieces[i].score for i in x)
+        assert ids[a:b].tolist() == w or math.isclose(worth(ids[a:b].tolist()), worth(w), abs_tol=1e-3), t
+
+
+def test_pieces_edges(spark, docs, no_docs, odd_docs):
+    assert pieces.encoded(no_docs).count() == 0
+    got = pieces.encoded(docs, carry=["doc_id", "text"])
+    assert got.where("not round_trip").count() == 0
+    back = pieces.decoded(got).collect()
+    assert all(r.decoded == (r.text or "") for r in back)
+    assert pieces.encoded(odd_docs, carry=["fp", "kept"]).columns == ["fp", "kept", "ids", "n_pieces", "round_trip"]
+
+
+def test_quality_ranks_held_out(spark):
+    draw = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 8))) for _ in range(draw.randint(20, 120))]
+        bad = i % 4 == 0
+        rows.append((i, " ".join(w.upper() + "!!" if bad else w for w in words), "x"))
+        labels.append((i, 0 if bad else 1))
+    docs = spark.createDataFrame([*rows, (None, None, "x"), (401, "", "x")], "doc_id long, text string, score string")
+    got = quality.predicted(docs, spark.createDataFrame([*labels, (3, None), (None, 1)], "doc_id long, quality int")).collect()
+    assert len(got) == 402
+    held = [r for r in got if r.held_out and r.doc_id is not None]
+    assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
+    assert all(r.predicted == (0 if r.doc_id % 4 == 0 else 1) for r in held if r.doc_id < 400)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    untrained = quality.predicted(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert {r.predicted for r in untrained} == {1}
+    assert quality.predicted(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
+
+
+def test_decontamination_tolerates_substitutions(spark):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (13, 15, 40, 59, 8, 3)]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(98, None), (99, "")], "item_id long, text string")
+    rows, want = [(-1, None), (-2, "")], {}
+    for k, x in enumerate(items):
+        for changed in range(0, 9):
+            own = list(x)
+            for p in draw.sample(range(len(own)), min(changed, len(own))):
+                own[p] = word()
+            rows.append((len(rows), " ".join([word() for _ in range(30)] + own + [word() for _ in range(30)])))
+            same = np.array([a == b for a, b in zip(x, own)])
+            if len(x) < 13:
+                want[rows[-1][0]] = len(x) >= 4 and bool(same.all())
+            else:
+                want[rows[-1][0]] = any(same[a:b].mean() >= 0.8 for a in range(len(x)) for b in range(a + 13, len(x) + 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("overlaps", pytest.importorskip("pyspark.sql.functions").lit("clash"))
+    got = {r.doc_id: r.contaminated for r in decontaminate.judged(docs, bench).collect()}
+    assert {k: v for k, v in got.items() if k >= 0} == want and not got[-1] and not got[-2]
+    blocks = {r.doc_id: len(r.overlaps) > 0 for r in decontaminate.overlapping(docs, bench, block=20).collect()}
+    assert blocks == got
+    assert decontaminate.judged(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.judged(docs.limit(0), bench).count() == 0
+
+
+def test_language_model_is_brute_force(spark, docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(None, "null id here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    own = [[w.decode() for w in WORD.findall(bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()))] + [None] for _, t in rows]
+    train = [i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    uni: dict = {}
+    pairs: dict = {}
+    for t, w in zip(train, own):
+        for a, b in zip(["<s>", *w], w):
+            if t:
+                uni[b] = uni.get(b, 0) + 1
+                pairs.setdefault(a, {}).setdefault(b, 0)
+                pairs[a][b] += 1
+    n, v = sum(uni.values()), len(uni)
+    for pack, share in ((6 << 20, 1 / 256), (3000, 1 / 256), (3000, 0.02)):
+        got = {r.doc_id: r for r in lm.scored(frame, pack_bytes=pack, share=share).collect()}
+        for (i, _), w, t in zip(rows, own, train):
+            r = got[i]
+            base = sum(math.log10((uni.get(x, 0) + 1) / (n + v + 1)) for x in w)
+            score = 0.0
+            for a, b in zip(["<s>", *w], w):
+                low, succ = (uni.get(b, 0) + 1) / (n + v + 1), pairs.get(a, {})
+                total = sum(succ.values())
+                score += math.log10(max(succ.get(b, 0) - lm.DISCOUNT, 0) / total + lm.DISCOUNT * len(succ) / total * low if total else low)
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not t, len(w), sum(x in uni for x in w), n)
+            assert math.isclose(r.base_score, base, rel_tol=1e-9)
+            assert math.isclose(r.score, score, rel_tol=0.02, abs_tol=0.3), (i, r.score, score, pack, share)
+    assert lm.scored(no_docs).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T{k}</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="x"><nav><ul><li><a href="/a{k}">menu {k}</a></li></ul>{nav}
+<header>Site header</header><div class="cookie-notice">We use cookies</div><{tag}><h1>Head {k} &amp; more</h1><p><b>First {k}<br>line   two {k}</b><p>Second {k} &eacute; <i>in{k}</i>line {k}</p><form><input value="q"><button>Go</button></form>
+<aside>aside {k}</aside></{tag}><section id="comments"><p>nice {k}</p></section><div class="ad">buy {k}</div><footer>&copy; host {k}</footer></body></html>"""
+
+
+def test_pages_keep_the_article(spark):
+    rows = [(k, f"http://h{k % 2}.example/{k}", PAGE.format(k=k, tag="article" if k % 2 else "div", nav="" if k % 4 == 1 else "</nav>")) for k in range(12)]
+    rows += [(90, None, None), (91, "http://h1.example/x", ""), (92, "not a url", "<p>plain &lt;b&gt; text"), (93, "http://lone.example", "<body><div><p>only  one</p></div></body>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in pages.main_text(frame).collect()}
+    for k in range(12):
+        assert got[k].text == f"Head {k} & more First {k} line two {k} Second {k} é in{k}line {k}", got[k].text
+    assert got[90].text == "" and got[91].n_chars == 0 and got[92].text == "plain <b> text" and got[93].text == "only one"
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert pages.main_text(frame.limit(0)).count() == 0
