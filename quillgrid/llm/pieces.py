@@ -8,8 +8,8 @@ tries to improve the best segmentation that ends there:
   leave as the last piece: the piece whose pair with the best piece before it is stable under the model's merges. The result is
   exactly that of the merges, in the same single pass.
 
-Pieces never cross the start of a run of spaces, nor a line feed, unless the model has such pieces. Texts are therefore cut there and each distinct
-segment of a worker's batches is encoded once; the rest is array work. Decoding gathers the bytes of the pieces.
+Texts are cut between two bytes that stand side by side in no piece, which no segmentation crosses: before a run of spaces, around line feeds and most
+punctuation. Each distinct segment of a worker's batches is encoded once; the rest is array work. Decoding gathers the bytes of the pieces.
 
 The model is a SentencePiece file (a parameter); only the identity normaliser is supported, other models raise ValueError.
 
@@ -19,6 +19,7 @@ piece if the model has no bytes; equal rows are encoded alike; an empty table gi
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -36,7 +37,7 @@ from . import bits
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SLICE = 1 << 20
 #: Distinct segments that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -61,14 +62,19 @@ class Pieces:
         self.byte = {int(p.piece[3:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.least = min(self.score.values(), default=0.0) - 10.0
         self.raw = [bytes([int(p.piece[3:-1], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else " ⁇ ".encode() if p.type == UNKNOWN else p.piece.replace("▁", " ").encode() for p in model.pieces]
-        self.cut_spaces = not any(" " in p.lstrip(" ") for p in self.score)
-        self.cut_lines = not any("\n" in p for p in self.score)
+        #: Byte pairs that stand side by side in some piece; no piece crosses any other pair, so texts are cut there.
+        self.joins = np.zeros((256, 256), bool)
+        for p in self.score:
+            raw = p.encode()
+            self.joins[list(raw[:-1]), list(raw[1:])] = True
+        self.joins[:, 0x80:0xC0] = True  # never inside a character
+        self.alphabet = frozenset(p for p in self.score if len(p) == 1)
         self.automaton = ahocorasick.Automaton()
         for p in self.score:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.stable_pairs: dict[tuple[str, str], bool] = {}
-        self.memory: dict[int, tuple[int, ...]] = {}
+        self.memory: dict[int, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves: the best pair first, the leftmost of equals."""
@@ -108,14 +114,32 @@ class Pieces:
         last: list[str] = [""] * (n + 1)
         if self.kind == BPE and text.startswith("  "):  # runs of spaces are pieces of equal score; merging has no stable pairs there
             return self.merged(text)
-        best = [0.0] + [float("-inf")] * n
-        for end, piece in self._outputs(text):
-            start = end - len(piece)
-            if self.kind == BPE:
-                if not last[end] and (start == 0 or last[start]) and self.stable("", piece) and (start == 0 or last[start] not in self.score or self.stable(last[start], piece)):
-                    last[end] = piece
-            elif best[start] + self.score.get(piece, self.least) > best[end]:
-                best[end], last[end] = best[start] + self.score.get(piece, self.least), piece
+        outputs = ((end + 1, piece) for end, piece in self.automaton.iter(text)) if self.alphabet.issuperset(text) else self._outputs(text)
+        if self.kind == BPE:
+            pairs, score = self.stable_pairs, self.score
+            for end, piece in outputs:
+                if last[end]:
+                    continue
+                start = end - len(piece)
+                left = last[start] if start else ""
+                if start and not left:
+                    continue
+                own = pairs.get(("", piece))
+                if self.stable("", piece) if own is None else own:
+                    if left and left in score:
+                        own = pairs.get((left, piece))
+                        own = self.stable(left, piece) if own is None else own
+                    else:
+                        own = True
+                    if own:
+                        last[end] = piece
+        else:
+            best = [0.0] + [float("-inf")] * n
+            for end, piece in outputs:
+                start = end - len(piece)
+                total = best[start] + self.score.get(piece, self.least)
+                if total > best[end]:
+                    best[end], last[end] = total, piece
         out = []
         while n:
             out.append(last[n])
@@ -135,7 +159,7 @@ class Pieces:
             if text[i] not in self.score:
                 yield i + 1, text[i]
 
-    def ids(self, text: str) -> tuple[int, ...]:
+    def ids(self, text: str) -> list[int]:
         out: list[int] = []
         unknown = False
         for p in self.segment(text):
@@ -146,14 +170,15 @@ class Pieces:
             elif not unknown:
                 out.append(self.unknown)
             unknown = i is None
-        return tuple(out)
+        return out
 
-    def known(self, key: int, raw: bytes) -> tuple[int, ...]:
+    def known(self, key: int, raw: bytes) -> bytes:
+        """The ids of a segment, four bytes each."""
         found = self.memory.get(key)
         if found is None:
             if len(self.memory) >= REMEMBERED:
                 self.memory.clear()
-            found = self.memory[key] = self.ids(raw.decode("utf-8", "replace"))
+            found = self.memory[key] = array("i", self.ids(raw.decode("utf-8", "replace"))).tobytes()
         return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,21 +192,15 @@ class Pieces:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
-        if self.cut_spaces:
-            space = data == 32
-            cut[1:n] |= space[1:] & ~space[:-1]
-        if self.cut_lines:
-            line = data == 10
-            cut[:n] |= line
-            cut[1:] |= line
+        cut[1:n] |= ~self.joins[data[:-1], data[1:]]
         cut[n] = True
         edge = np.flatnonzero(cut)
         start, end = edge[:-1], edge[1:]
         key, first, which = np.unique(bits.Roll(data).spans(start, end), return_index=True, return_inverse=True)
         raw = data.tobytes()
         found = [self.known(k, raw[a:b]) for k, a, b in zip(key.tolist(), start[first].tolist(), end[first].tolist())]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
         count = size[which]
         ids = flat[bits.ranges((np.cumsum(size) - size)[which], count)]
         total = np.concatenate(([0], np.cumsum(count)))
