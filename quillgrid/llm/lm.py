@@ -140,7 +140,7 @@ class Trie:
         self.values = low.values()
 
     def successor(self, value: np.ndarray) -> np.ndarray:
-        """The code of each query value: position of the first successor not less than it, by its bucket of high bits."""
+        """The code of each query value: the first successor not less than it, by bisection of its context's range within its bucket of high bits."""
         out = np.zeros(len(value), np.uint8)
         if not self.level.n or not len(value):
             return out
@@ -148,12 +148,12 @@ class Trie:
         context = (value >> np.uint64(WIDTH)).astype(np.int64)
         at = np.maximum(self.bucket[high], self.pointer[context])
         end = np.minimum(self.bucket[high + 1], self.pointer[context + 1])
-        alive = np.flatnonzero(at < end)
-        while len(alive):
-            less = self.values[at[alive]] < value[alive]
-            alive = alive[less]
-            at[alive] += 1
-            alive = alive[at[alive] < end[alive]]
+        last = end.copy()
+        while len(alive := np.flatnonzero(at < last)):
+            middle = (at[alive] + last[alive]) >> 1
+            less = self.values[middle] < value[alive]
+            at[alive] = np.where(less, middle + 1, at[alive])
+            last[alive] = np.where(less, last[alive], middle)
         found = np.flatnonzero(at < end)
         found = found[self.values[at[found]] == value[found]]
         out[found] = self.code[at[found]]
