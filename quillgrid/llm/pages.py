@@ -49,6 +49,7 @@ SUPPORT = 3
 #: Pages of a host from which on text chunks of the root class count as template.
 TEXT_SUPPORT = 8
 BATCH = 256
+SALT = 64
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -181,7 +182,7 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     seen = pages.select("host", mark.alias("mark"), "html").mapInArrow(run, "host string, token string, vector long, inside long, once boolean")
     tokens_ = seen.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("inside").alias("inside"), F.count("*").alias("pages"))
     root = tokens_.where("token = ''").select("host", F.col("vector").alias("all"), F.col("pages").alias("n")).where(F.col("n") >= support)
-    classes = tokens_.where("token <> ''").join(root, "host").where("vector = all and pages = n")
+    classes = tokens_.where(f"token <> '' and pages >= {support}").join(root, "host").where("vector = all and pages = n")
     elements = classes.where("token not like '#%'")
     widest = elements.groupBy("host").agg(F.max("inside").alias("most"), F.count("*").alias("size")).where("size >= 2 and most > 0")
     inner = elements.join(widest, "host").where(F.col("inside") >= MOST * F.col("most"))
@@ -194,7 +195,9 @@ def main_text(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
-    known = base.join(templates(base, support), "host", "left").select("page_id", "url", "html", "slot", "template")
+    # one host may have a third of all pages: its template, a row, is joined in SALT parts
+    salted = templates(base, support).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    known = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "slot", "template")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
