@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,7 +91,7 @@ def file_title(rel: Column) -> Column:
 
 def title(first_page: Column, rel: Column) -> Column:
     """The first line of the first page that can be a title, or else the file name."""
-    line = F.element_at(F.filter(F.transform(lines(first_page), strip), is_title_line), 1)
+    line = F.get(F.filter(F.transform(lines(first_page), strip), is_title_line), F.lit(0))
     return F.substring(F.coalesce(line, file_title(rel)), 1, 160)
 
 
@@ -142,7 +145,7 @@ def quote_chunks(quote: Column) -> Column:
 def missing_chunk(quote: Column, body: Column) -> Column:
     """The first part of the quote that is not on the page; null if all are."""
     page = squeezed(body)
-    return F.element_at(F.filter(quote_chunks(quote), lambda c: ~F.contains(page, c)), 1)
+    return F.get(F.filter(quote_chunks(quote), lambda c: ~F.contains(page, c)), F.lit(0))
 
 
 def quote_on_page(quote: Column, body: Column) -> Column:
@@ -219,12 +222,28 @@ def why_lines(catalog: Column, words: Column, name: Column) -> Column:
 
 
 def snippet(body: Column, words: Column, size: int = 24) -> Column:
-    """The window of this many tokens with most query words, the first of equals; found words are marked."""
-    own = _all(body, r"[\p{L}\p{N}]+")
-    hit = lambda t: F.array_contains(words, F.translate(F.lower(t), ACCENTED, PLAIN))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(own) - size + 1, F.lit(1)))
-    best = F.array_min(F.transform(starts, lambda i: F.struct((-F.size(F.filter(F.slice(own, i, F.lit(size)), hit))).alias("n"), i.alias("i"))))["i"]
-    return F.array_join(F.transform(F.slice(own, best, F.lit(size)), lambda t: F.when(hit(t), F.concat(F.lit(">>"), t, F.lit("<<"))).otherwise(t)), " ")
+    """The window of this many tokens with most query words, the first of equals; found words are marked.
+
+    For the few pages that are shown: a sliding count over all tokens, which built-in functions would recompute for each window.
+    """
+
+    @F.pandas_udf("string")
+    def run(bodies: pd.Series, wanted: pd.Series) -> pd.Series:
+        fold = str.maketrans(ACCENTED, PLAIN)
+        out = []
+        for text, own in zip(bodies, wanted):
+            found = re.findall(r"[^\W_]+", text or "")
+            hit = [t.lower().translate(fold) in set(own) for t in found]
+            best = count = sum(hit[:size])
+            start = 0
+            for i in range(1, len(found) - size + 1):
+                count += hit[i + size - 1] - hit[i - 1]
+                if count > best:
+                    best, start = count, i
+            out.append(" ".join(f">>{t}<<" if h else t for t, h in zip(found[start : start + size], hit[start : start + size])))
+        return pd.Series(out)
+
+    return run(body, words)
 
 
 def page_refs(text: Column) -> Column:

@@ -123,3 +123,14 @@ def retrieval_hit(opened: Column, rel: Column) -> Column:
     tail = F.concat_ws("/", F.get(own, F.size(own) - 2), F.get(own, F.size(own) - 1))
     slash = F.lit("/")
     return F.exists(F.transform(opened, T.norm_path), lambda p: (p != "") & ((p == path) | F.endswith(p, F.concat(slash, path)) | F.endswith(path, F.concat(slash, p)) | ((F.size(own) >= 2) & F.endswith(p, tail))))
+
+
+def decisions(results: DataFrame) -> DataFrame:
+    """(session, reason, slugs): why a session's answer should be held back, if it should: bad notes first, else figures in no note.
+
+    results has session, slug, n_bad, n_bad_answer; marked (already asked this turn) is optional and stops a second block.
+    """
+    own = results if "marked" in results.columns else results.withColumn("marked", F.lit(False))
+    out = own.groupBy("session").agg(F.bool_or("marked").alias("marked"), F.sort_array(F.collect_set(F.when(F.col("n_bad") > 0, F.col("slug")))).alias("notes"), F.sort_array(F.collect_set(F.when(F.col("n_bad_answer") > 0, F.col("slug")))).alias("figures"))
+    reason = F.when(F.col("marked"), None).when(F.size("notes") > 0, "notes").when(F.size("figures") > 0, "figures")
+    return out.select("session", reason.alias("reason"), F.when(reason == "notes", F.slice("notes", 1, 4)).when(reason == "figures", F.slice("figures", 1, 4)).alias("slugs"))

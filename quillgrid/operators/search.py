@@ -12,7 +12,11 @@ K1, B = 1.2, 0.75
 
 def postings(docs: DataFrame, key: list[str], fields: dict[str, float]) -> DataFrame:
     """(key, term, f, n): weighted term frequency, and occurrences, over the fields."""
-    own = [F.transform(T.tokens(F.col(c)), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for c, w in fields.items()]
+
+    def weighted(column: str, weight: float) -> Column:
+        return F.transform(T.tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+
+    own = [weighted(c, w) for c, w in fields.items()]
     return docs.select(*key, F.explode(F.concat(*own)).alias("t")).groupBy(*key, "t.term").agg(F.sum("t.w").alias("f"), F.count("*").alias("n"))
 
 

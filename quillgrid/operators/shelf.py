@@ -77,15 +77,19 @@ def merged_families(docs: DataFrame, passes: int = 3) -> DataFrame:
     return docs
 
 
-def copies(kept: DataFrame) -> DataFrame:
-    """(rel, copy, is_primary, same_hash_as_primary): all files of each document's edition and its hidden copies."""
-    edition = lambda d: [F.col(c).alias(f"{d}_{c}") for c in ("rel", "family", "fy", "sha256", "is_primary")]
-    a, b = kept.select(*edition("a"), "dupes"), kept.select(*edition("b"))
-    primary = kept.where("is_primary").groupBy("family", "fy").agg(F.max_by("sha256", "rel").alias("p_sha")).select(F.col("family").alias("p_family"), F.col("fy").alias("p_fy"), "p_sha")
-    pairs = a.join(b, (F.col("a_family") == F.col("b_family")) & F.col("a_fy").eqNullSafe(F.col("b_fy"))).join(primary, (F.col("a_family") == F.col("p_family")) & F.col("a_fy").eqNullSafe(F.col("p_fy")), "left")
-    own = pairs.select(F.col("a_rel").alias("rel"), F.col("b_rel").alias("copy"), F.col("b_is_primary").alias("is_primary"), (F.col("b_sha256") == F.col("p_sha")).alias("same_hash_as_primary"))
-    hidden = a.join(primary, (F.col("a_family") == F.col("p_family")) & F.col("a_fy").eqNullSafe(F.col("p_fy")), "left").select(F.col("a_rel").alias("rel"), F.explode("dupes").alias("copy"), F.lit(False).alias("is_primary"), (F.col("a_sha256") == F.col("p_sha")).alias("same_hash_as_primary"))
-    return own.unionAll(hidden)
+def copies(kept: DataFrame, asked: DataFrame) -> DataFrame:
+    """(rel, copy, is_primary, same_hash_as_primary): for each asked document all files of its edition and its hidden copies.
+
+    The asked ones are given, so an edition of many files is listed once for each of them, not for all its members.
+    """
+    primary = kept.where("is_primary").groupBy("family", "fy").agg(F.max_by("sha256", "rel").alias("p_sha"))
+    named = lambda d, by: d.select(*(F.col(c).alias(f"{by}_{c}") for c in d.columns))
+    same = lambda x, y: (F.col(f"{x}_family") == F.col(f"{y}_family")) & F.col(f"{x}_fy").eqNullSafe(F.col(f"{y}_fy"))
+    own = named(kept.join(asked.select("rel"), "rel", "left_semi").select("rel", "family", "fy", "sha256", "dupes"), "a").join(named(primary, "p"), same("a", "p"), "left")
+    members = own.join(named(kept.select("rel", "family", "fy", "sha256", "is_primary"), "b"), same("a", "b"))
+    shown = members.select(F.col("a_rel").alias("rel"), F.col("b_rel").alias("copy"), F.col("b_is_primary").alias("is_primary"), (F.col("b_sha256") == F.col("p_p_sha")).alias("same_hash_as_primary"))
+    hidden = own.select(F.col("a_rel").alias("rel"), F.explode("a_dupes").alias("copy"), F.lit(False).alias("is_primary"), (F.col("a_sha256") == F.col("p_p_sha")).alias("same_hash_as_primary"))
+    return shown.unionAll(hidden)
 
 
 def dupe_audit(kept: DataFrame, files: DataFrame) -> DataFrame:

@@ -29,24 +29,29 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def hashed(text: Column, size: int = 64) -> Column:
-    """The default embedding without a model: term counts by hashed sign and position, at length one."""
-    own = F.transform(T.tokens(text), lambda t: F.xxhash64(t))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(own, lambda h: F.pmod(h, F.lit(size)) == i), F.lit(0.0), lambda s, h: s + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)))
-    return unit(raw)
-
-
-def embedded(docs: DataFrame, text: Column, embedder: Embedder | None = None, column: str = "vector") -> DataFrame:
-    """docs with a unit vector of the text, by the embedder or by hashed terms."""
+def hashed(docs: DataFrame, key: list[str], text: Column, size: int = 64) -> DataFrame:
+    """(key, vector): the default embedding without a model, term counts by hashed position and sign, at length one."""
+    h = F.xxhash64("term")
+    sign = F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    terms = docs.select(*key, F.explode(T.tokens(text)).alias("term")).select(*key, F.pmod(h, F.lit(size)).cast("int").alias("at"), sign.alias("w")).groupBy(*key, "at").agg(F.sum("w").alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
+    own = terms.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"), norm.alias("norm"))
+    value = lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
+    found = own.select(*key, F.array(*(value(F.lit(i)) for i in range(size))).alias("vector"))
+    return docs.select(*key).join(found, key, "left").withColumn("vector", F.coalesce("vector", F.array(*(F.lit(0.0) for _ in range(size)))))
+
+
+def embedded(docs: DataFrame, key: list[str], text: Column, embedder: Embedder | None = None) -> DataFrame:
+    """(key, vector): a unit vector of the text, by the embedder or by hashed terms."""
     if embedder is None:
-        return docs.withColumn(column, hashed(text))
+        return hashed(docs, key, text)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield embedder(texts)
 
-    return docs.withColumn(column, unit(run(text)))
+    return docs.select(*key, unit(run(text)).alias("vector"))
 
 
 def card_text(title: Column, family: Column, catalog: Column) -> Column:

@@ -73,7 +73,7 @@ def family_fragment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CAPTIONS = "caps AS (SELECT rel, page_index, i, regexp_replace(l, '^\\s+|\\s+$', '', 'g') AS caption FROM (SELECT rel, page_index, unnest(x) AS l, unnest(range(1, len(x) + 1)) AS i FROM (SELECT rel, page_index, regexp_extract_all(body, '(?m)^[ \\t]*Table\\s+[A-Za-z]?\\.?\\d+(?:\\.\\d+)*\\s*[:.\\-–]\\s*.{3,160}$') AS x FROM page_rows) a) b)"
 
 
-@query(f"WITH {sql.CORPUS}, {_CAPTIONS}, d AS (SELECT rel, caption, min(page_index * 1000 + i) AS at FROM caps GROUP BY ALL) SELECT rel, caption, CAST(at // 1000 AS INTEGER) AS page_index, CAST(row_number() OVER (PARTITION BY rel ORDER BY at) AS INTEGER) AS ord FROM d QUALIFY ord <= 400")
+@query(f"WITH {sql.CORPUS}, {_CAPTIONS}, d AS (SELECT rel, caption, min(page_index * 1000 + i) AS place FROM caps GROUP BY ALL) SELECT rel, caption, CAST(place // 1000 AS INTEGER) AS page_index, CAST(row_number() OVER (PARTITION BY rel ORDER BY place) AS INTEGER) AS ord FROM d QUALIFY ord <= 400")
 def captions_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf.harvested(derived.pages(spark, sf_dir)).select("rel", "caption", "page_index", "ord")
 
@@ -95,10 +95,12 @@ def dupe_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf.dupe_audit(kept(spark, sf_dir), derived.files(spark, sf_dir))
 
 
-@query(f"""WITH {sql.CORPUS}, {KEPT}, p AS (SELECT family, fy, arg_max(sha256, rel) AS sha FROM kept WHERE is_primary GROUP BY ALL) SELECT a.rel, b.rel AS copy, b.is_primary, b.sha256 = p.sha AS same_hash_as_primary FROM kept a JOIN kept b ON a.family = b.family AND a.fy IS NOT DISTINCT FROM b.fy JOIN p ON p.family = a.family AND p.fy IS NOT DISTINCT FROM a.fy
-UNION ALL SELECT keeper, shadow, false, d.sha256 = p.sha FROM dupes d JOIN p ON p.family = d.family AND p.fy IS NOT DISTINCT FROM d.fy""")
+@query(f"""WITH {sql.CORPUS}, {KEPT}, p AS (SELECT family, fy, arg_max(sha256, rel) AS sha FROM kept WHERE is_primary GROUP BY ALL) SELECT a.rel, b.rel AS copy, b.is_primary, b.sha256 = p.sha AS same_hash_as_primary FROM kept a JOIN kept b ON a.family = b.family AND a.fy IS NOT DISTINCT FROM b.fy JOIN p ON p.family = a.family AND p.fy IS NOT DISTINCT FROM a.fy WHERE a.is_primary AND a.fy IS NOT NULL
+UNION ALL SELECT keeper, shadow, false, d.sha256 = p.sha FROM dupes d JOIN p ON p.family = d.family AND p.fy = d.fy WHERE keeper IN (SELECT rel FROM kept WHERE is_primary)""")
 def copies_of_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shelf.copies(kept(spark, sf_dir))
+    """Of every edition with a year: what its primary is a copy of."""
+    own = kept(spark, sf_dir)
+    return shelf.copies(own, own.where("is_primary and fy is not null"))
 
 
 @query(f"WITH {sql.CORPUS}, {KEPT}, a AS (SELECT family, fy, CASE length(family) % 3 WHEN 0 THEN '2012-13' WHEN 1 THEN '2009-10' ELSE '2019-20' END AS asked FROM kept WHERE is_primary AND fy IS NOT NULL) SELECT family, asked, CASE WHEN bool_or(fy = asked) THEN 'EDITION_PRESENT' ELSE 'NO_EDITION_FOR' END AS verdict, max(fy) FILTER (fy < asked) AS nearest_before, min(fy) FILTER (fy > asked) AS nearest_after FROM a GROUP BY ALL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import coverage
-from ..sources import derived, files
+from ..sources import derived, files, grids
 from . import sql
 from .registry import query
 
@@ -114,3 +114,11 @@ def open_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = derived.pages(spark, sf_dir)
     return evidence.open_pages(pages, pages.where("page_index = 2").select("rel", "page_index"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(ls) AS text, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) a), m AS (SELECT * FROM l WHERE length(text) - length(replace(text, '|', '')) >= 2),
+r AS (SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM m), g AS (SELECT doc_id, line, dense_rank() OVER (PARTITION BY doc_id ORDER BY run) AS grid, list_transform(string_split(text, '|'), lambda c: left(trim(regexp_replace(c, '\\s+', ' ', 'g')), 120)) AS cells FROM r)
+SELECT doc_id, CAST(grid AS INTEGER) AS grid, CAST(row_number() OVER (PARTITION BY doc_id, grid ORDER BY line) AS INTEGER) AS row, array_to_string(cells, '~') AS cells FROM g WHERE len(list_filter(cells, lambda c: c <> '')) > 0 QUALIFY row <= 60""")
+def table_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids of bar-delimited lines in documents."""
+    return grids.delimited(derived.documents(spark, sf_dir), ["doc_id"], "text").withColumn("cells", F.array_join("cells", "~"))

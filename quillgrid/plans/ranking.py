@@ -30,7 +30,7 @@ def search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TIER = f"""tiers AS (SELECT h.*, n_terms = n_query AS full_match FROM hits h JOIN (SELECT qid, count(*) AS n_query FROM terms GROUP BY qid) q USING (qid)),
-chosen AS (SELECT t.*, CASE WHEN some THEN 'all' ELSE 'any' END AS tier FROM tiers t JOIN (SELECT qid, bool_or(full_match) AS some FROM tiers GROUP BY qid) b USING (qid) WHERE full_match = some)"""
+chosen AS (SELECT t.*, CASE WHEN has_all THEN 'all' ELSE 'any' END AS tier FROM tiers t JOIN (SELECT qid, bool_or(full_match) AS has_all FROM tiers GROUP BY qid) b USING (qid) WHERE full_match = has_all)"""
 
 
 @query(f"WITH {ASKED}, {_DOCS}, {_TIER}, n AS (SELECT qid, count(*) AS total FROM chosen GROUP BY qid) SELECT qid, doc_id, {_ROUND}, CAST(rank AS INTEGER) AS rank, tier, total FROM ({sql.top('chosen', 15, 'doc_id')}) t JOIN n USING (qid)")
@@ -82,7 +82,7 @@ def cards_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CAPS = f"caps AS (SELECT rel, caption_line AS caption FROM corpus), {sql.bm25('caps', 'rel', {'caption': 1.0}, 'asked')}"
 
 
-@query(f"WITH {sql.CORPUS}, {_LABELS}, {_CAPS}, {_TIER.replace('bool_or(full_match)', 'count(*) FILTER (full_match) >= 20').replace('WHERE full_match = some', 'WHERE full_match OR NOT some')} SELECT qid, rel, {_ROUND}, CAST(rank AS INTEGER) AS rank, tier FROM ({sql.top('chosen', 200, 'rel')}) t")
+@query(f"WITH {sql.CORPUS}, {_LABELS}, {_CAPS}, {_TIER.replace('bool_or(full_match)', 'count(*) FILTER (full_match) >= 20').replace('WHERE full_match = has_all', 'WHERE full_match OR NOT has_all')} SELECT qid, rel, {_ROUND}, CAST(rank AS INTEGER) AS rank, tier FROM ({sql.top('chosen', 200, 'rel')}) t")
 def caption_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions with all words where there are 20 such, else with any."""
     queries = _labels(spark)
@@ -214,7 +214,7 @@ def find(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {sql.CORPUS}, {_CARDS}, {_LABELS}, {sql.bm25('cards', 'rel', {'title': 3.0, 'family': 2.0}, 'asked')}, {_TIER},
 ph AS (SELECT qid, rel, 0.0 AS score, 'phrase' AS tier FROM asked JOIN cards ON contains({_PAD('title')}, {_PAD('query')})),
 al AS (SELECT qid, rel, score, tier FROM chosen WHERE qid NOT IN (SELECT qid FROM ph) UNION ALL SELECT * FROM ph), h AS (SELECT qid, family, tier, max(round(score, 9)) AS score, min(rel) AS first_rel, list_sort(list(DISTINCT fy) FILTER (fy IS NOT NULL)) AS fys FROM al JOIN cards USING (rel) GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, family) AS place FROM h) SELECT qid, family, tier, array_to_string(fys, ',') AS fy_list, CASE WHEN list_contains(fys, '2012-13') THEN 'EDITION_PRESENT' ELSE 'NO_EDITION_FOR' END AS verdict FROM k WHERE place <= 8""")
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, family) AS place FROM h) SELECT qid, family, tier, coalesce(array_to_string(fys, ','), '') AS fy_list, CASE WHEN coalesce(list_contains(fys, '2012-13'), false) THEN 'EDITION_PRESENT' ELSE 'NO_EDITION_FOR' END AS verdict FROM k WHERE place <= 8""")
 def have_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether there is a publication for words and a year: title phrase, else all words, else any; eight publications at most."""
     queries, cards = _labels(spark), _cards(spark, sf_dir)
@@ -229,4 +229,4 @@ def have_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def card_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards with the default embedding."""
     cards = _cards(spark, sf_dir)
-    return vectors.embedded(cards, vectors.card_text(F.col("title"), F.col("family"), F.col("catalog"))).select("rel", vectors.fingerprint(F.col("vector")).alias("fingerprint"))
+    return vectors.embedded(cards, ["rel"], vectors.card_text(F.col("title"), F.col("family"), F.col("catalog"))).select("rel", vectors.fingerprint(F.col("vector")).alias("fingerprint"))

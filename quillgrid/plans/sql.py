@@ -16,7 +16,7 @@ def tokens(x: str) -> str:
 
 def distinct(x: str) -> str:
     """The distinct elements of a list, first occurrences in order."""
-    return f"list_filter({x}, lambda t, i: list_position({x}, t) = i)"
+    return f"list_filter({x}, lambda dx, di: list_position({x}, dx) = di)"
 
 
 def content_words(x: str) -> str:

@@ -21,11 +21,19 @@ FIRST_PAGE = 1
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(rel, size, mtime, content) of every file below root; content is read only where it is used."""
+    """(rel, size, mtime, content) of every file below root; content is read only where it is used.
+
+    Spark's reader has no rows for empty files; they are found by name in its own file index. It skips names that start with a dot or
+    an underscore altogether, so those are not counted as excluded either.
+    """
     base = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     start = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+:/*", "/")
     path = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"^[a-z]+:/*", "/")
-    return base.select(F.substring(path, F.length(start) + 2, F.length(path)).alias("rel"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    rel = F.substring(path, F.length(start) + 2, F.length(path)).alias("rel")
+    names = spark.createDataFrame([(p,) for p in base.inputFiles()], "path string").select(rel)
+    found = base.select(rel, F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    empty = names.join(found.select("rel"), "rel", "left_anti").select("rel", F.lit(0).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("mtime"), F.lit(b"").alias("content"))
+    return found.unionByName(empty)
 
 
 def is_excluded(rel: Column, top: list[str] | None = None) -> Column:

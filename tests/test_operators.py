@@ -7,7 +7,8 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.operators import coverage, evidence, search, shelf, vectors
+from quillgrid.operators import coverage, evidence, ledger, search, shelf, vectors
+from quillgrid.sources import grids
 from quillgrid.streaming import refresh
 
 BODIES = ["budget of the year", "the budget budget statement", "revenue and tax revenue", "tax year 2012-13", "", "statement on tax budget"]
@@ -122,8 +123,8 @@ def test_scoring(spark, answer, rel, rule):
 def test_vectors(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0])], "vec_id int, embedding array<double>")
     assert [(r.vec_id, r["rank"]) for r in vectors.nearest(frame, [(0, [0.0, 1.0])], 2).orderBy("rank").collect()] == [(3, 1), (2, 2)]
-    own = vectors.embedded(spark.createDataFrame([("tax budget",), ("",)], "t string"), F.col("t")).collect()
-    assert abs(sum(x * x for x in own[0].vector) - 1) < 1e-9 and sum(own[1].vector) == 0
+    own = {r.t: r.vector for r in vectors.embedded(spark.createDataFrame([("tax budget",), ("",)], "t string"), ["t"], F.col("t")).collect()}
+    assert abs(sum(x * x for x in own["tax budget"]) - 1) < 1e-9 and own[""] == [0.0] * 64
 
 
 def test_refresh_is_rebuild(spark, tmp_path):
@@ -135,3 +136,57 @@ def test_refresh_is_rebuild(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/store/shelf/version=2").select(columns).collect()
     want = shelf.with_primary(shelf.survivors(spark.createDataFrame(DOCS, SCHEMA))).select(columns).collect()
     assert sorted(got) == sorted(want)
+
+
+def test_grids(spark):
+    pages = spark.createDataFrame([("a", 1, "x\n| h  1 | h2 |\n| | |\n| 3 | 4 |\ntext\n|5|6|"), ("b", 1, "none")], "rel string, page_index int, body string")
+    own = grids.delimited(pages, ["rel", "page_index"])
+    assert {(r.grid, r.row, tuple(r.cells)) for r in own.collect()} == {(1, 1, ("", "h 1", "h2", "")), (1, 2, ("", "3", "4", "")), (2, 1, ("", "5", "6", ""))}
+    errors = lambda rel: {r.error for r in grids.of_page(own, pages, ["rel", "page_index"], {"rel": rel, "page_index": 1}).collect()}
+    assert errors("a") == {None} and errors("b") == {"NO_TABLE_ON_PAGE"} and errors("z") == {"PAGE_OUT_OF_RANGE"}
+    html = spark.createDataFrame([("a", "<table><tr><th>A<th>B</tr><tr><td>1</td><td><b>2</b></td></tr></table>")], "rel string, html string")
+    assert [r.cells for r in grids.html(html, ["rel"]).orderBy("row").collect()] == [["A", "B"], ["1", "2"]]
+
+
+def test_ledger(spark, tmp_path):
+    path, out = str(tmp_path / "run.json"), str(tmp_path / "out")
+    table = spark.createDataFrame([(1, "a")], "id int, t string")
+    ledger.start(spark, path, "r1", {"docs": "x"}, [out])
+    ledger.note(spark, path, "half way")
+    with pytest.raises(ValueError):
+        ledger.finish(spark, path, {})
+    done = ledger.finish(spark, path, {out: table})
+    assert ledger.load(spark, path) == done and done["notes"][0]["text"] == "half way"
+    with pytest.raises(FileExistsError):
+        ledger.start(spark, path, "r2", {}, [])
+    table.write.parquet(out)
+    with pytest.raises(FileExistsError):
+        ledger.start(spark, str(tmp_path / "other.json"), "r3", {}, [out])
+    assert ledger.start(spark, path, "r2", {}, [out], supersedes="r1")["supersedes"] == "r1"
+    a, b = ledger.manifest({"t": table}), ledger.manifest({"t": table.withColumn("mtime", F.lit(1.0)), "u": table})
+    assert ledger.differences(a, b) == ["u"]
+
+
+def test_decisions(spark):
+    rows = [(1, "a", 1, 0, False), (1, "b", 0, 2, False), (2, "c", 0, 1, False), (3, "d", 0, 0, False), (4, "e", 3, 3, True)]
+    frame = spark.createDataFrame(rows, "session int, slug string, n_bad int, n_bad_answer int, marked boolean")
+    assert {(r.session, r.reason, tuple(r.slugs or ())) for r in evidence.decisions(frame).collect()} == {(1, "notes", ("a",)), (2, "figures", ("c",)), (3, None, ()), (4, None, ())}
+
+
+def test_catalog(spark, tmp_path):
+    from quillgrid.sources import catalog
+
+    registry = str(tmp_path / "registry.json")
+    catalog.register(spark, registry, "C:\\Docs", "s1")
+    catalog.register(spark, registry, "c:/docs/inner/", "s2")
+    assert catalog.resolve(spark, registry, "C:/Docs/inner/x.txt")["store"] == "s2"
+    assert catalog.resolve(spark, registry, "c:/docs/other")["store"] == "s1"
+    with pytest.raises(LookupError):
+        catalog.resolve(spark, registry, "d:/x")
+    opened = spark.createDataFrame([("s", "a.txt", 1)], "slug string, rel string, page_index int")
+    notes = spark.createDataFrame([("s", "n", "q", "h"), ("t", "m", "q", "h")], "slug string, text string, quote string, page_sha string")
+    catalog.log_opened(opened, str(tmp_path / "o"))
+    catalog.log_opened(opened, str(tmp_path / "o"))
+    catalog.log_notes(notes, str(tmp_path / "n"))
+    own = catalog.session(spark.read.parquet(str(tmp_path / "o")), spark.read.parquet(str(tmp_path / "n")), "s").collect()
+    assert [(r.kind, r.what) for r in own] == [("opened", "a.txt p1"), ("opened", "a.txt p1"), ("note", "n")]
