@@ -7,7 +7,8 @@ stretch of at least `least` tokens agrees in `similarity` of them. Items with fe
 fewer than four tokens are too common to look for and never match.
 
 The two masks lose nothing: a stretch of n >= 13 tokens with at most n // 5 differing ones holds four equal tokens in a row, except when
-n = 15 and runs of three alternate with single differences, and there the mask 1110111 hits.
+n = 15 and runs of three alternate with single differences, and there the mask 1110111 hits. A hit goes on to the comparison if any
+stretch of `least` to 2 * `least` - 1 tokens near it has the share; a longer one always holds such a stretch.
 
 The benchmark is read in blocks of at most `block` tokens; each block is sent to the tasks, so what is broadcast is bounded,
 and the documents pass by all blocks in one job without an exchange.
@@ -34,7 +35,6 @@ TOKEN = np.full(256, 0x20, np.uint8)
 for _c in (*range(48, 58), *range(97, 123), *range(128, 256)):
     TOKEN[_c] = _c
 TOKEN[65:91] = np.arange(97, 123)
-REACH = 12
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,19 +120,25 @@ class Block:
         out: list[list[dict]] = [[] for _ in count]
         all_i, all_j = self.hits(token, count)
         row_of = np.repeat(np.arange(len(count)), count)
-        need = int(np.ceil(least * (similarity - 0.05)))
+        # the shortest stretch around a seed has fewer than 2 * least tokens: of two halves of a longer one, one has the share too
+        reach = 2 * least - 2
+        around = np.arange(-reach, reach + 1)
+        lengths = [(n, int(np.ceil(n * similarity - 1e-9))) for n in range(least, 2 * least)]
+        step = max(1, (1 << 21) // len(around))
         kept_i, kept_j = [], []
-        around = np.arange(-REACH, REACH + 1)
-        for a in range(0, len(all_i), 1 << 16):
-            i, j = all_i[a : a + (1 << 16)], all_j[a : a + (1 << 16)]
+        for a in range(0, len(all_i), step):
+            i, j = all_i[a : a + step], all_j[a : a + step]
             x, y = i[:, None] + around, j[:, None] + around
             row, item = row_of[i], self.item[j]
             inside = (x >= start[row][:, None]) & (x < end[row][:, None]) & (y >= self.start[item][:, None]) & (y < self.end[item][:, None])
             same = inside & (token[np.where(inside, x, 0)] == self.token[np.where(inside, y, 0)])
-            sums = np.concatenate((np.zeros((len(i), 1), np.int64), np.cumsum(same, axis=1)), axis=1)
-            good = (sums[:, least:] - sums[:, :-least]).max(1) >= np.minimum(need, self.count[item]) if least <= 2 * REACH + 1 else np.ones(len(i), bool)
-            kept_i.append(i[good])
-            kept_j.append(j[good])
+            some = np.flatnonzero(same.sum(1) >= np.minimum(lengths[0][1], self.count[item]))
+            sums = np.concatenate((np.zeros((len(some), 1), np.int64), np.cumsum(same[some], axis=1)), axis=1)
+            good = self.count[item[some]] < least
+            for n, need in lengths:
+                good |= (sums[:, n:] - sums[:, :-n]).max(1) >= need
+            kept_i.append(i[some[good]])
+            kept_j.append(j[some[good]])
         if not kept_i:
             return out
         i, j = np.concatenate(kept_i), np.concatenate(kept_j)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -107,6 +108,28 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.judged(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_clustered_substitutions(spark):
+    items = [[f"w{n}x{p}" for p in range(n)] for n in range(20, 26)]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    rows, want = [], {}
+    for x in items:
+        for width in range(3, 8):
+            for first in range(len(x) - width + 1):
+                own = [f"new{p}" if first <= p < first + width else w for p, w in enumerate(x)]
+                same = np.array([a == b for a, b in zip(x, own)])
+                rows.append((len(rows), " ".join(["before"] * 9 + own + ["after"] * 9)))
+                want[rows[-1][0]] = any(5 * same[a:b].sum() >= 4 * (b - a) for a in range(len(x)) for b in range(a + 13, len(x) + 1))
+    got = {r.doc_id: r.contaminated for r in decontaminate.judged(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == want and len(set(want.values())) == 2
+
+
+def test_decontamination_masks_hit_all_short_stretches():
+    for n in range(13, 26):
+        for gone in itertools.combinations(range(n), n // 5):
+            x = (1 << n) - 1 - sum(1 << p for p in gone)
+            assert x & x >> 1 & x >> 2 & x >> 3 or x & x >> 1 & x >> 2 & x >> 4 & x >> 5 & x >> 6, (n, gone)
+
+
 def test_language_model_is_brute_force(spark, docs, no_docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()] + [(None, "null id here")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
