@@ -4,12 +4,13 @@
    host and token, the occurrence vector over the host's pages is kept as a linear fingerprint, the sum of count times a
    hash of the page. Equal fingerprints are equal vectors, so tokens of one fingerprint and host form an equivalence class. It is a
    plain aggregate with map-side combine: no task ever holds the pages of a host.
-2. A class is valid with at least two elements and `support` pages. The class whose tokens occur once in every page is the root of the template.
-   Classes nest by containment: each element knows the text that lies inside it, so the innermost element of the root class that still
-   holds most of the text is the content slot; the slots outside it belong to the template, and so do text chunks of the root class, except inside
-   article and main elements, where a text that all pages share may be content.
-3. The content slot of each page is extracted, without nested menus, headers, footers, asides, forms, adverts, notices, comments and scripts. A page
-   without the slot's element, or a host without a template, uses article, main, or else the body.
+2. A class is valid with at least two elements that occur once on each of its pages, and with `support` pages that are
+   all pages of the host. Each element knows the text that lies inside it and
+   all text of its pages: of a class, the innermost element that holds MOST of the text is a content slot, or an article or main that
+   does. The slots of a host nest; a page uses the deepest that it has. Text chunks of such a class are template.
+3. The content slot of each page is extracted, without nested menus, headers, footers, asides, forms, adverts, notices, comments and scripts. A slot
+   inside an article or main stands for that. A page without a slot's element, or a host without a template, uses article, main, or else the
+   body. Template chunks go outside article and main.
 
 Edge cases: a null or empty html has the empty text; a null url is a host of its own kind; unclosed elements end with their parent; pages
 that repeat are pages; an empty table gives an empty result; pages of any length are read whole.
@@ -24,9 +25,11 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import checkpointed
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>",
@@ -42,11 +45,12 @@ SKIPPED_WORDS = frozenset(
     "gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments disqus respond replies reply login signup "
     "search pagination pager toolbar skip complementary contentinfo masthead".split()
 )
-CONTENT = frozenset(("article", "main"))
-#: Of the root class, the slot holds at least this share of the text of the widest element.
+CONTENT_ORDER = ("article", "main")
+CONTENT = frozenset(CONTENT_ORDER)
+#: A slot holds at least this share of the text of its pages.
 MOST = 0.7
 SUPPORT = 3
-#: Pages of a host from which on text chunks of the root class count as template.
+#: Pages of a class from which on its text chunks count as template.
 TEXT_SUPPORT = 8
 BATCH = 256
 SALT = 64
@@ -121,74 +125,92 @@ def chunk_key(chunk: str) -> str:
     return "#" + xxhash.xxh64_hexdigest(" ".join(chunk.split()).encode("utf-8", "replace"))
 
 
-def observed(html: str) -> dict[str, tuple[int, int]]:
-    """For each token of a page: how often it occurs, and the characters of content inside it."""
+def observed(html: str) -> dict[str, tuple[int, int, int]]:
+    """For each token of a page: how often it occurs, the characters of content inside it, and its depth; '' is the page."""
     count: Counter[str] = Counter()
     inside: Counter[str] = Counter()
+    depth: dict[str, int] = {}
     for kind, value, stack, skipped in walk(html):
         if kind in ("element", "inline"):
             count[value] += 1
+            depth.setdefault(value, len(stack))
         elif kind == "text" and not skipped and (n := len(value) - value.count(" ")) and not value.isspace():
-            count[chunk_key(value)] += 1
-            for sig in {x[1] for x in stack}:
+            key = chunk_key(value)
+            count[key] += 1
+            for sig in {key, "", *(x[1] for x in stack)}:
                 inside[sig] += n
-    return {k: (n, inside[k]) for k, n in count.items()}
+    count[""] = 1
+    return {k: (n, inside[k], depth.get(k, 0)) for k, n in count.items()}
 
 
-def extract(html: str, slot: str | None = None, template: frozenset[str] = frozenset()) -> str:
-    """The text of the content slot: blocks in page order, joined by one space."""
+def extract(html: str, slots: tuple[str, ...] = (), template: frozenset[str] = frozenset()) -> str:
+    """The text of the first slot on the page: blocks in page order, joined by one space."""
     if not html:
         return ""
-    blocks: dict[str, list[list[str]]] = {"slot": [[]], "article": [[]], "main": [[]], "body": [[]]}
+    keys = [*(("slot", s) for s in slots), *(("tag", t) for t in (*CONTENT_ORDER, "body"))]
+    blocks: dict[tuple[str, str], list[list[str]]] = {k: [[]] for k in keys}
+    around: dict[str, str] = {}
     for kind, value, stack, skipped in walk(html):
         if kind == "text":
             if not skipped:
-                own = {x[0] for x in stack}
+                tags, sigs = [x[0] for x in stack], [x[1] for x in stack]
                 constant = bool(template) and chunk_key(value) in template
-                for k, parts in blocks.items():
-                    if constant and k not in CONTENT:
+                for (how, name), parts in blocks.items():
+                    if constant and name not in CONTENT:
                         continue
-                    if k == "body" or k in own or k == "slot" and any(x[1] == slot for x in stack):
+                    if how == "slot" and name in sigs:
+                        outer = tags[: sigs.index(name)]
+                        for t in CONTENT_ORDER:
+                            if t in outer:
+                                around.setdefault(name, t)
+                                break
+                        parts[-1].append(value)
+                    elif how == "tag" and (name == "body" or name in tags):
                         parts[-1].append(value)
         elif kind != "inline":
             for parts in blocks.values():
                 if parts[-1]:
                     parts.append([])
-    for k in ("article", "main", "slot", "body") if slot is None or slot.split(".")[0] not in CONTENT else ("slot", "article", "main", "body"):
-        texts = [" ".join(entities.unescape("".join(b)).split()) for b in blocks[k]]
+    for how, name in keys:
+        texts = [" ".join(entities.unescape("".join(b)).split()) for b in blocks[("tag", around[name]) if how == "slot" and name in around else (how, name)]]
         if joined := " ".join(t for t in texts if t):
             return joined
-    return extract(html, slot) if template else ""
+    return extract(html, slots) if template else ""
 
 
 def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(host, slot, template): the content slot's signature and the text chunks of the template, for hosts with a valid root class."""
+    """(host, slots, template): the signatures of the content slots, deepest first, and the text chunks of the template."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 part = batch.slice(a, BATCH)
-                hosts, tags, counts, inside, marks = [], [], [], [], []
+                out: list[list] = [[] for _ in range(7)]
                 for host, mark, html in zip(*(part.column(c).to_pylist() for c in ("host", "mark", "html"))):
-                    for token, (n, size) in [("", (1, 0)), *observed(html or "").items()]:
-                        hosts.append(host)
-                        tags.append(token)
-                        counts.append(n * mark)
-                        inside.append(size)
-                        marks.append(n == 1)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(tags, pa.string()), pa.array(counts, pa.int64()), pa.array(inside, pa.int64()), pa.array(marks, pa.bool_())], ["host", "token", "vector", "inside", "once"])
+                    seen = observed(html or "")
+                    for token, (n, size, depth) in seen.items():
+                        for column, value in zip(out, (host, token, n * mark, size, seen[""][1], depth, int(n == 1))):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 2 else pa.int64()) for k, c in enumerate(out)], ["host", "token", "vector", "inside", "whole", "depth", "once"])
 
     mark = F.xxhash64("url", "page_id", "html").bitwiseAND(F.lit((1 << 40) - 1))
-    seen = pages.select("host", mark.alias("mark"), "html").mapInArrow(run, "host string, token string, vector long, inside long, once boolean")
-    tokens_ = seen.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), F.sum("inside").alias("inside"), F.count("*").alias("pages"))
-    root = tokens_.where("token = ''").select("host", F.col("vector").alias("all"), F.col("pages").alias("n")).where(F.col("n") >= support)
-    classes = tokens_.where(f"token <> '' and pages >= {support}").join(root, "host").where("vector = all and pages = n")
-    elements = classes.where("token not like '#%'")
-    widest = elements.groupBy("host").agg(F.max("inside").alias("most"), F.count("*").alias("size")).where("size >= 2 and most > 0")
-    inner = elements.join(widest, "host").where(F.col("inside") >= MOST * F.col("most"))
-    slot = inner.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("inside", F.desc("token")))).where("k = 1").select("host", F.col("token").alias("slot"))
-    texts = classes.where(f"token like '#%' and pages >= {TEXT_SUPPORT}").groupBy("host").agg(F.collect_set("token").alias("template"))
-    return slot.join(texts, "host", "left")
+    seen = pages.select("host", mark.alias("mark"), "html").mapInArrow(run, "host string, token string, vector long, inside long, whole long, depth long, once long")
+    sums = [F.sum(c).alias(c) for c in ("inside", "whole", "depth", "once")]
+    tokens_ = checkpointed(seen.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), *sums, F.count("*").alias("pages")).where(F.col("pages") >= support))
+    all_pages = tokens_.where("token = ''").select("host", F.col("pages").alias("n"))
+    once = tokens_.where("token <> '' and once = pages").join(all_pages, "host").where("pages = n")
+    element, chunk = F.expr("token not like '#%'"), F.expr(f"token like '#%' and pages >= {TEXT_SUPPORT}")
+    content = F.substring_index("token", ".", 1).isin(*CONTENT)
+    # the least of: an article or main before others, less text inside, deeper, name
+    order = F.struct(F.when(content, 0).otherwise(1).alias("other"), "inside", (-F.col("depth")).alias("up"), "token")
+    classes = (
+        once.groupBy("host", "vector", "pages")
+        .agg(F.count_if(element).alias("size"), F.min(F.when(element & (F.col("whole") > 0) & (F.col("inside") >= MOST * F.col("whole")), order)).alias("slot"), F.collect_set(F.when(chunk, F.col("token"))).alias("texts"))
+        .where("size >= 2 and slot is not null")
+    )
+    texts = F.col("texts")
+    nested = classes.select("host", F.struct((F.col("slot.up") / F.col("pages")).alias("up"), (-F.col("pages")).alias("fewer"), F.col("slot.token").alias("token")).alias("slot"), texts.alias("texts"))
+    return nested.groupBy("host").agg(F.transform(F.sort_array(F.collect_list("slot")), lambda x: x["token"]).alias("slots"), F.array_distinct(F.flatten(F.collect_list("texts"))).alias("template"))
 
 
 def main_text(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -197,13 +219,13 @@ def main_text(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host)
     # one host may have a third of all pages: its template, a row, is joined in SALT parts
     salted = templates(base, support).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    known = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "slot", "template")
+    known = base.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "slots", "template")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH):
                 part = batch.slice(a, BATCH)
-                texts = [extract(h or "", s, frozenset(t or ())) for h, s, t in zip(*(part.column(c).to_pylist() for c in ("html", "slot", "template")))]
+                texts = [extract(h or "", tuple(s or ()), frozenset(t or ())) for h, s, t in zip(*(part.column(c).to_pylist() for c in ("html", "slots", "template")))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return known.mapInArrow(run, "page_id long, url string, text string, n_chars long")

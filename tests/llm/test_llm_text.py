@@ -175,3 +175,15 @@ def test_pages_keep_the_article(spark):
     assert got[90].text == "" and got[91].n_chars == 0 and got[92].text == "plain <b> text" and got[93].text == "only one"
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert pages.main_text(frame.limit(0)).count() == 0
+
+
+def page_texts(spark, bodies: list[str]) -> list[str]:
+    rows = [(k, f"http://one.example/{k}", b and f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)]
+    return [r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).orderBy("page_id").collect()]
+
+
+def test_pages_use_the_deduced_slot_before_tags(spark):
+    body = "<p>Site line</p><article>card {k}</article><div class='story'><div class='inner'><p>" + "word " * 30 + "number {k}</p></div></div>"
+    want = " ".join(["word"] * 30)
+    assert page_texts(spark, [body.format(k=k) for k in range(6)]) == [f"{want} number {k}" for k in range(6)]
+
