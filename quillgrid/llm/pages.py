@@ -4,8 +4,8 @@
    host and token, the occurrence vector over the host's pages is kept as a linear fingerprint, the sum of count times a
    hash of the page. Equal fingerprints are equal vectors, so tokens of one fingerprint and host form an equivalence class. It is a
    plain aggregate with map-side combine: no task ever holds the pages of a host.
-2. A class is valid with at least two elements that occur once on each of its pages, and with `support` pages that are
-   all pages of the host. Each element knows the text that lies inside it and
+2. A class is valid with at least two elements that occur once on each of its pages, and with `support` pages that are a SHARE of the host's
+   pages with any token, so an empty or odd page takes no class from the others. Each element knows the text that lies inside it and
    all text of its pages: of a class, the innermost element that holds MOST of the text is a content slot, or an article or main that
    does. The slots of a host nest; a page uses the deepest that it has. Text chunks of such a class are template.
 3. The content slot of each page is extracted, without nested menus, headers, footers, asides, forms, adverts, notices, comments and scripts. A slot
@@ -50,6 +50,7 @@ CONTENT = frozenset(CONTENT_ORDER)
 #: A slot holds at least this share of the text of its pages.
 MOST = 0.7
 SUPPORT = 3
+SHARE = 0.05
 #: Pages of a class from which on its text chunks count as template.
 TEXT_SUPPORT = 8
 BATCH = 256
@@ -139,7 +140,8 @@ def observed(html: str) -> dict[str, tuple[int, int, int]]:
             count[key] += 1
             for sig in {key, "", *(x[1] for x in stack)}:
                 inside[sig] += n
-    count[""] = 1
+    if count:
+        count[""] = 1
     return {k: (n, inside[k], depth.get(k, 0)) for k, n in count.items()}
 
 
@@ -198,7 +200,7 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("inside", "whole", "depth", "once")]
     tokens_ = checkpointed(seen.groupBy("host", "token").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("vector"), *sums, F.count("*").alias("pages")).where(F.col("pages") >= support))
     all_pages = tokens_.where("token = ''").select("host", F.col("pages").alias("n"))
-    once = tokens_.where("token <> '' and once = pages").join(all_pages, "host").where("pages = n")
+    once = tokens_.where("token <> '' and once = pages").join(all_pages, "host").where(F.col("pages") >= SHARE * F.col("n"))
     element, chunk = F.expr("token not like '#%'"), F.expr(f"token like '#%' and pages >= {TEXT_SUPPORT}")
     content = F.substring_index("token", ".", 1).isin(*CONTENT)
     # the least of: an article or main before others, less text inside, deeper, name

@@ -187,3 +187,12 @@ def test_pages_use_the_deduced_slot_before_tags(spark):
     want = " ".join(["word"] * 30)
     assert page_texts(spark, [body.format(k=k) for k in range(6)]) == [f"{want} number {k}" for k in range(6)]
 
+
+def test_pages_nest_two_layouts_past_odd_pages(spark):
+    story = "word " * 30
+    one = "<p>Site line</p><div class='story'><div class='inner'><p>" + story + "one {k}</p></div></div>"
+    two = "<p>Site line</p><div class='report'><div class='chapter'><p>" + story + "two {k}</p></div></div>"
+    bodies = [(one if k % 2 else two).format(k=k) for k in range(12)] + [None, "", "<b>error</b>"]
+    got = page_texts(spark, bodies)
+    assert got == [f"{story}{'one' if k % 2 else 'two'} {k}" for k in range(12)] + ["", "", "error"]
+
