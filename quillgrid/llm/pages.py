@@ -7,10 +7,11 @@
 2. A class is valid with at least two elements that occur once on each of its pages, and with `support` pages that are a SHARE of the host's
    pages with any token, so an empty or odd page takes no class from the others. Each element knows the text that lies inside it and
    all text of its pages: of a class, the innermost element that holds MOST of the text is a content slot, or an article or main that
-   does. The slots of a host nest; a page uses the deepest that it has. Text chunks of such a class are template.
+   does. The slots of a host nest; a page uses the deepest that it has. Text chunks of such a class are template, unless they
+   are more than the rest of MOST, as on pages that are copies of each other.
 3. The content slot of each page is extracted, without nested menus, headers, footers, asides, forms, adverts, notices, comments and scripts. A slot
    inside an article or main stands for that. A page without a slot's element, or a host without a template, uses article, main, or else the
-   body. Template chunks go outside article and main.
+   body. Template chunks go only outside article, main and slots below the body.
 
 Edge cases: a null or empty html has the empty text; a null url is a host of its own kind; unclosed elements end with their parent; pages
 that repeat are pages; an empty table gives an empty result; pages of any length are read whole.
@@ -156,10 +157,10 @@ def extract(html: str, slots: tuple[str, ...] = (), template: frozenset[str] = f
         if kind == "text":
             if not skipped:
                 tags, sigs = [x[0] for x in stack], [x[1] for x in stack]
-                constant = bool(template) and chunk_key(value) in template
+                constant = bool(template) and chunk_key(value) in template and not any(t in CONTENT or s in slots and t not in ("html", "body") for t, s in zip(tags, sigs))
+                if constant:
+                    continue
                 for (how, name), parts in blocks.items():
-                    if constant and name not in CONTENT:
-                        continue
                     if how == "slot" and name in sigs:
                         outer = tags[: sigs.index(name)]
                         for t in CONTENT_ORDER:
@@ -207,10 +208,10 @@ def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     order = F.struct(F.when(content, 0).otherwise(1).alias("other"), "inside", (-F.col("depth")).alias("up"), "token")
     classes = (
         once.groupBy("host", "vector", "pages")
-        .agg(F.count_if(element).alias("size"), F.min(F.when(element & (F.col("whole") > 0) & (F.col("inside") >= MOST * F.col("whole")), order)).alias("slot"), F.collect_set(F.when(chunk, F.col("token"))).alias("texts"))
+        .agg(F.count_if(element).alias("size"), F.min(F.when(element & (F.col("whole") > 0) & (F.col("inside") >= MOST * F.col("whole")), order)).alias("slot"), F.sum(F.when(chunk, F.col("inside")).otherwise(0)).alias("fixed"), F.max("whole").alias("whole"), F.collect_set(F.when(chunk, F.col("token"))).alias("texts"))
         .where("size >= 2 and slot is not null")
     )
-    texts = F.col("texts")
+    texts = F.when(F.col("fixed") <= (1 - MOST) * F.col("whole"), F.col("texts")).otherwise(F.array().cast("array<string>"))
     nested = classes.select("host", F.struct((F.col("slot.up") / F.col("pages")).alias("up"), (-F.col("pages")).alias("fewer"), F.col("slot.token").alias("token")).alias("slot"), texts.alias("texts"))
     return nested.groupBy("host").agg(F.transform(F.sort_array(F.collect_list("slot")), lambda x: x["token"]).alias("slots"), F.array_distinct(F.flatten(F.collect_list("texts"))).alias("template"))
 

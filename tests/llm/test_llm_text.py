@@ -196,3 +196,11 @@ def test_pages_nest_two_layouts_past_odd_pages(spark):
     got = page_texts(spark, bodies)
     assert got == [f"{story}{'one' if k % 2 else 'two'} {k}" for k in range(12)] + ["", "", "error"]
 
+
+def test_pages_keep_text_that_all_share(spark):
+    for tag in ("article", "main", "div"):
+        for n in (7, 8, 12):
+            body = f"<{tag} class='story'><h1>Shared head</h1><p>Licence sentence of all</p><p>own {{k}} " + "word " * 5 + f"</p></{tag}>"
+            own = " ".join(["word"] * 5)
+            assert page_texts(spark, [body.format(k=k) for k in range(n)]) == [f"Shared head Licence sentence of all own {k} {own}" for k in range(n)], (tag, n)
+    assert page_texts(spark, ["<p>Same text of all copies</p><p>and more</p>"] * 9) == ["Same text of all copies and more"] * 9
