@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,34 @@ def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int,
     return top(scored, k, [key])
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """(qid, key, score, rank): cosine of unit vectors for every row of queries(qid, q).
+
+    Both tables are dealt into blocks by hash, each about `block` rows; each block of queries meets each block of vectors once, in a task
+    that returns the k best of each query there.
+    """
+
+    def blocks(df: DataFrame, name: str, i: Column, v: Column) -> DataFrame:
+        own = df.select(i.cast("long").alias("i"), v.cast("array<double>").alias("v")).where("i is not null and v is not null")
+        n = max(1, -(-own.count() // block))
+        return own.groupBy(F.pmod(F.xxhash64("i"), F.lit(n)).alias(name)).agg(F.collect_list("i").alias(f"{name}_ids"), F.collect_list("v").alias(name + "_rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(batch.num_rows):
+                asked, own = (np.array(batch.column(c)[a].as_py(), np.int64) for c in ("asked_ids", "own_ids"))
+                q, v = (np.array(batch.column(c)[a].as_py(), np.float64) for c in ("asked_rows", "own_rows"))
+                score = q @ v.T
+                order = np.lexsort((np.broadcast_to(own, score.shape), -np.round(score, 9)), axis=1)[:, :k]
+                cols = [np.repeat(asked, order.shape[1]), own[order].ravel(), np.take_along_axis(score, order, 1).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["qid", key, "score"])
+
+    pairs = blocks(queries, "asked", F.col("qid"), F.col("q")).crossJoin(blocks(vectors, "own", F.col(key), F.col(vector)))
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(parts, "asked", "own").select("asked_ids", "asked_rows", "own_ids", "own_rows")
+    return top(pairs.mapInArrow(run, f"qid long, `{key}` long, score double"), k, [key])
+
+
 def above_median(scores: DataFrame, by: list[str], key: str, score: str = "score", always: int = 3) -> DataFrame:
     """Rows at or above their group's median score, and the best few in any case."""
     group = Window.partitionBy(*by)

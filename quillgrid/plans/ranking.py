@@ -153,6 +153,13 @@ def vec_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(own, queries, 10).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def vec_knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of every vector."""
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.nearest_each(own, own.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 10).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH v AS (SELECT vec_id, label, list_sum(list_transform(embedding, lambda x, i: CASE WHEN i <= 8 THEN CAST(x AS DOUBLE) ELSE 0 END)) AS score FROM embeddings), m AS (SELECT *, quantile_cont(score, 0.5) OVER (PARTITION BY label) AS median, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS place FROM v) SELECT label, vec_id, round(score, 6) AS score FROM m WHERE score >= median OR place <= 3")
 def vec_median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda s, x: s + x.cast("double"))
@@ -191,6 +198,28 @@ def best_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).select("qid", "id", "best_rank", "n_lists", F.row_number().over(order).alias("rank"))
 
 
+def _fused_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of all benchmark queries; the vector of a query is that of its number."""
+    queries = asked(spark, sf_dir)
+    lex = search.top(search.bm25(derived.documents(spark, sf_dir), queries, ["doc_id"], {"text": 1.0}), 50, ["doc_id"]).select("qid", F.lit(0).alias("list_no"), F.col("doc_id").alias("id"), "rank")
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    near = queries.select("qid").join(own.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid")
+    vec = vectors.nearest_each(own, near, 50).select("qid", F.lit(1).alias("list_no"), F.col("vec_id").alias("id"), "rank")
+    return search.fused(lex.unionAll(vec), "id")
+
+
+@query()
+def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("rrf", 9)), "first_seen")
+    return _fused_all(spark, sf_dir).select("qid", "id", F.round("rrf", 6).alias("rrf"), F.row_number().over(order).alias("rank"))
+
+
+@query()
+def best_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("qid").orderBy("best_rank", F.desc("n_lists"), F.desc(F.round("rrf", 9)), "first_seen")
+    return _fused_all(spark, sf_dir).select("qid", "id", "best_rank", "n_lists", F.row_number().over(order).alias("rank"))
+
+
 _FIND = f"""{_CARDS}, {_LABELS}, {sql.bm25('cards', 'rel', _CARD_FIELDS, 'asked')}, caps AS (SELECT rel, caption_line AS caption FROM corpus), {sql.bm25('caps', 'rel', {'caption': 1.0}, 'asked', prefix='c_')},
 lists AS (SELECT qid, 0 AS list_no, rel, rank FROM ({sql.top('hits', 200, 'rel')}) a UNION ALL SELECT qid, 1, rel, rank FROM ({sql.top('c_hits', 200, 'rel')}) b),
 f AS (SELECT qid, rel, sum(1.0 / (60 + rank)) AS rrf FROM lists GROUP BY ALL),
