@@ -57,10 +57,10 @@ def verify_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH d AS (SELECT doc_id, {sql.squeezed('text')} AS t FROM documents), b AS (SELECT item_id, left({sql.squeezed('text')}, 60) AS q FROM benchmark) SELECT item_id, count(*) AS n_docs FROM b JOIN d ON contains(t, q) GROUP BY item_id")
 def quote_on_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that have the start of each benchmark passage; candidates share its first three words."""
+    """Documents that have each benchmark passage as a whole; candidates share its first three words."""
     from ..operators import search
 
-    quotes = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.substring(T.squeezed(F.col("text")), 1, 60).alias("quote"))
+    quotes = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), T.squeezed(F.col("text")).alias("quote"))
     words = quotes.select("qid", F.array_join(F.slice(T.tokens(F.col("quote")), 2, 3), " ").alias("query"))
     docs = derived.documents(spark, sf_dir)
     found = search.phrase(docs, words, ["doc_id"], "text").join(docs.select("doc_id", "text"), "doc_id").join(quotes, "qid")
