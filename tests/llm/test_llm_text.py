@@ -204,3 +204,16 @@ def test_pages_keep_text_that_all_share(spark):
             own = " ".join(["word"] * 5)
             assert page_texts(spark, [body.format(k=k) for k in range(n)]) == [f"Shared head Licence sentence of all own {k} {own}" for k in range(n)], (tag, n)
     assert page_texts(spark, ["<p>Same text of all copies</p><p>and more</p>"] * 9) == ["Same text of all copies and more"] * 9
+
+
+def test_decontamination_with_a_hot_seed_stays_small():
+    """Hundreds of items and a long text share one run of five words: 65 million pairs of seeds, at most 2 ** 18 in hand."""
+    import resource
+
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    hot = "one run of five words"
+    own = decontaminate.Block(list(range(200)), [" ".join([word(), word(), hot, word(), word(), *(word() for _ in range(8))]) for _ in range(200)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert own.overlaps(pa.array([" ".join(f"{hot} x{k} y{k} z{k}" for k in range(20_000))]), 13, 0.8) == [[]]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
