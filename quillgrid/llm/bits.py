@@ -1,4 +1,4 @@
-"""Vectorised text primitives over Arrow string columns: buffers, words, rolling 64-bit hashes.
+"""Vectorised text primitives over Arrow string columns: buffers, words, rolling hashes.
 
 Everything works on whole record batches at once (numpy over the column's own bytes), so no Python object is made
 per byte or per word. A null text counts as an empty one everywhere.
@@ -28,38 +28,88 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+P61 = (1 << 61) - 1
+_P = U64(P61)
+_MASK32, _MASK31, _MASK30, _MASK29 = (U64((1 << k) - 1) for k in (32, 31, 30, 29))
+_BASES = (0x1A96D2F7B3C4E58D, 0x0B7E151628AED2A7)
+_POWERS: dict[int, np.ndarray] = {}
+_BLOCK = 1 << 20
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            run = np.full(n + n // 4, base, U64)
-            run[0] = 1
-            _POWERS[k] = np.cumprod(run, dtype=U64)
-    return _POWERS
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit words modulo 2**61 - 1."""
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
 
 
-class Roll:
-    """Prefix sums of a polynomial hash modulo 2**64: the hash of any span in constant time."""
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, elementwise, for a and b below it."""
+    a1, a0, b1, b0 = a >> U64(31), a & _MASK31, b >> U64(31), b & _MASK31
+    middle = a1 * b0 + a0 * b1
+    low = a0 * b0
+    return reduced(U64(2) * (a1 * b1) + (middle >> U64(30)) + ((middle & _MASK30) << U64(31)) + (low & _P) + (low >> U64(61)))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of the base, by doubling."""
+    own = _POWERS.get(base, np.ones(1, U64))
+    while len(own) < n:
+        own = np.concatenate((own, product(own, U64(pow(base, len(own), P61)))))
+    _POWERS[base] = own
+    return own
 
-    def __init__(self, values: np.ndarray) -> None:
-        values = _BYTE[values] if values.dtype == np.uint8 else values
-        power, self.inverse = _powers(len(values) + 1)
-        self.acc = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * power[: len(values)], out=self.acc[1:])
+
+class Roll:
+    """Prefix sums of a polynomial hash modulo the prime 2**61 - 1: the hash of any span in constant time.
+
+    Two different spans of n symbols have one hash for at most n of the 2**61 bases; modulo a power of two, strings such as Thue and
+    Morse's would have one for every base. values are bytes or 64-bit words. A second hash, with another base, tells apart what the
+    first by chance does not.
+    """
+
+    def __init__(self, values: np.ndarray, second: bool = False) -> None:
+        n = len(values)
+        base = _BASES[second]
+        power, self.inverse = _powers(base, n + 1), _powers(pow(base, -1, P61), n + 1)
+        self.acc = np.zeros(n + 1, U64)
+        carry = U64(0)
+        for a in range(0, n, _BLOCK):
+            own, scale = values[a : a + _BLOCK], power[a : min(n, a + _BLOCK)]
+            if own.dtype == np.uint8:  # 9 bits times 61 bits: sums of both halves fit
+                own = own.astype(U64) + U64(1)
+                low, high = np.cumsum(own * (scale & _MASK32)), np.cumsum(own * (scale >> U64(32)))
+            else:
+                terms = product(reduced(own), scale)
+                low, high = np.cumsum(terms & _MASK32), np.cumsum(terms >> U64(32))
+            high = reduced(high)
+            out = reduced((((high & _MASK29) << U64(32)) | (high >> U64(29))) + reduced(low) + carry)
+            self.acc[a + 1 : a + 1 + len(own)] = out
+            carry = out[-1]
+
+    def _hash(self, low: np.ndarray, high: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        return product(np.where(high >= low, high - low, high + _P - low), inverse)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.acc[end] - self.acc[start]) * self.inverse[start]
-        return mix(raw + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+        return mix(self._hash(self.acc[start], self.acc[end], self.inverse[start]) + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
     def windows(self, width: int) -> np.ndarray:
         """Hashes of every span of this width, by start."""
         n = max(0, len(self.acc) - width)
-        return mix((self.acc[width : width + n] - self.acc[:n]) * self.inverse[:n] + U64(width * 0x9E3779B97F4A7C15 % (1 << 64))) if n else np.zeros(0, U64)
+        return mix(self._hash(self.acc[:n], self.acc[width : width + n], self.inverse[:n]) + U64(width * 0x9E3779B97F4A7C15 % (1 << 64))) if n else np.zeros(0, U64)
+
+
+def grams(values: np.ndarray, width: int) -> np.ndarray:
+    """A number for every span of this width, by start, that equal spans share: for choosing places, not for telling spans apart."""
+    n = max(0, len(values) - width + 1)
+    out = np.zeros(n, U64)
+    if n and values.dtype == np.uint8 and width % 8 == 0:
+        values, width = np.ndarray(len(values) - 7, "<u8", np.ascontiguousarray(values), strides=(1,)), width // 8
+        steps = range(0, 8 * width, 8)
+    else:
+        steps = range(width if n else 0)
+    for k in steps:
+        out = (out ^ (out >> U64(29))) * U64(0xD1342543DE82EF95) + values[k : k + n]
+    return mix(out)
 
 
 def buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

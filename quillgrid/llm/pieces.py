@@ -74,7 +74,7 @@ class Pieces:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.stable_pairs: dict[tuple[str, str], bool] = {}
-        self.memory: dict[int, bytes] = {}
+        self.memory: dict[bytes, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merges themselves: the best pair first, the leftmost of equals."""
@@ -172,13 +172,13 @@ class Pieces:
             unknown = i is None
         return out
 
-    def known(self, key: int, raw: bytes) -> bytes:
+    def known(self, raw: bytes) -> bytes:
         """The ids of a segment, four bytes each."""
-        found = self.memory.get(key)
+        found = self.memory.get(raw)
         if found is None:
             if len(self.memory) >= REMEMBERED:
                 self.memory.clear()
-            found = self.memory[key] = array("i", self.ids(raw.decode("utf-8", "replace"))).tobytes()
+            found = self.memory[raw] = array("i", self.ids(raw.decode("utf-8", "replace"))).tobytes()
         return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +197,14 @@ class Pieces:
         cut[n] = True
         edge = np.flatnonzero(cut)
         start, end = edge[:-1], edge[1:]
-        key, first, which = np.unique(bits.Roll(data).spans(start, end), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        found = [self.known(k, raw[a:b]) for k, a, b in zip(key.tolist(), start[first].tolist(), end[first].tolist())]
+        _, first, which = np.unique(bits.Roll(data).spans(start, end), return_index=True, return_inverse=True)
+        size = end - start
+        if not (np.array_equal(size, size[first][which]) and np.array_equal(data, data[bits.ranges(start[first][which], size)])):  # a hash that two segments share
+            seen: dict[bytes, int] = {}
+            which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(start.tolist(), end.tolist())])
+            first = np.unique(which, return_index=True)[1]
+        found = [self.known(raw[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist())]
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.int32)
         count = size[which]

@@ -5,7 +5,7 @@ grams (winnowing), so two equal windows share an anchor at the same place.
 
 1. Seeds: each pack sends its distinct anchors; shards tell which anchors occur in two documents. That is the join of documents on anchors, with
    one entry a pack for each anchor.
-2. Extension: around each joined anchor the matches are extended both ways over the windows that see it. Each window goes, once a pack and
+2. Extension: around each joined anchor the matches are extended both ways over the windows that see it. Each window goes as 93 bits of two hashes, once a pack and
    with its least doc_id, to a shard, which tells whether a document outside the pack has it earlier. No pairs are made, so a
    passage in a third of all documents costs one entry a pack and window.
 3. Windows that match are joined to maximal repeats, which all are `length` words or longer, and their words go.
@@ -47,17 +47,17 @@ class Words:
         first = np.cumsum(self.count) - self.count
         windows = np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.maximum(self.count - length + 1, 0), 0)
         token = bits.Roll(self.data).spans(self.start, self.end) if len(self.data) else np.zeros(0, np.uint64)
-        self.roll = bits.Roll(token)
-        grams = self.roll.windows(gram)
+        self.roll, self.second = bits.Roll(token), bits.Roll(token, second=True)
+        grams = bits.grams(token, gram)
         self.pos, self.lo, self.hi = chosen(grams, first, windows, length - gram + 1)
         self.key = grams[self.pos] if len(self.pos) else np.zeros(0, np.uint64)
         self.row = np.searchsorted(np.cumsum(self.count), self.pos, "right")
 
-    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, hash and row of each window that sees the given anchors."""
+    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, hash, 32 bits of another hash, and row of each window that sees the given anchors."""
         size = (self.hi - self.lo + 1)[of]
         at = bits.ranges(self.lo[of], size)
-        return at, self.roll.spans(at, at + self.length), np.repeat(self.row[of], size)
+        return at, self.roll.spans(at, at + self.length), (self.second.spans(at, at + self.length) >> np.uint64(32)).astype(np.uint32), np.repeat(self.row[of], size)
 
 
 def _slices(table: pa.Table, length: int, gram: int) -> Iterator[Words]:
@@ -77,6 +77,17 @@ def _least(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[first], doc[first], doc[first] != doc[last]
 
 
+def _least_window(key: np.ndarray, more: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted windows as two hashes, the least doc of each, and the place of each given window among them."""
+    order = np.lexsort((doc, more, key))
+    key, more, doc = key[order], more[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (more[1:] != more[:-1])
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return key[new], more[new], doc[new], place
+
+
 def _short(keys: np.ndarray) -> bytes:
     """The middle five bytes of keys, which are in one shard: enough to tell candidates."""
     return keys.view(np.uint8).reshape(-1, 8)[:, 2 : 2 + KEY].tobytes()
@@ -109,19 +120,17 @@ def _seeds(shard: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
 def _earlier(shard: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
     """For each window of each pack, a bit: a document outside the pack has it, with a smaller id than any in the pack."""
     own = [r for r in held if r[1] == WINDOWS]
-    keys, docs = [], []
+    keys, more, docs = [], [], []
     for *_, blob in own:
         n = struct.unpack_from("<i", blob)[0]
         keys.append(np.frombuffer(blob, np.uint64, n, 4))
         docs.append(np.frombuffer(blob, np.int64, n, 4 + 8 * n))
+        more.append(np.frombuffer(blob, np.uint32, n, 4 + 16 * n))
     out = [(pack, SEEDED, part, blob) for pack, kind, part, blob in held if kind == SEEDED]
     if own:
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(key)
-        first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
-        least = np.minimum.reduceat(doc[order], first)
-        flag = np.empty(len(key), np.uint8)
-        flag[order] = np.repeat(least, np.diff(np.append(first, len(key)))) < doc[order]
+        doc = np.concatenate(docs)
+        _, _, least, place = _least_window(np.concatenate(keys), np.concatenate(more), doc)
+        flag = (least[place] < doc).astype(np.uint8)
         cut = np.cumsum([0, *map(len, keys)])
         out += [(r[0], WINDOWS, shard, struct.pack("<i", b - a) + np.packbits(flag[a:b]).tobytes()) for r, a, b in zip(own, cut, cut[1:])]
     yield rows(out)
@@ -155,15 +164,14 @@ def removed(docs: DataFrame, length: int = 13, gram: int = 5, id_col: str = "doc
         key = np.concatenate([p.key for p in parts])
         unique = np.unique(key)
         joined = _bits(held[1:], len(unique))[np.searchsorted(unique, key)] if len(key) else np.zeros(0, bool)
-        window, doc, base = [], [], 0
+        window, base = [], 0
         for p in parts:
-            _, h, row = p.windows(np.flatnonzero(joined[base : base + len(p.pos)]))
-            window.append(h)
-            doc.append(p.id[row])
+            _, h, more, row = p.windows(np.flatnonzero(joined[base : base + len(p.pos)]))
+            window.append((h, more, p.id[row]))
             base += len(p.pos)
         if joined.any():
-            h, d, _ = _least(np.concatenate(window), np.concatenate(doc))
-            out = [(pack, WINDOWS, k, struct.pack("<i", b - a) + h[a:b].tobytes() + d[a:b].tobytes()) for k, a, b in dealt(h, shards)]
+            h, m, d, _ = _least_window(*map(np.concatenate, zip(*window)))
+            out = [(pack, WINDOWS, k, struct.pack("<i", b - a) + h[a:b].tobytes() + d[a:b].tobytes() + m[a:b].tobytes()) for k, a, b in dealt(h, shards)]
             yield rows([*out, (pack, SEEDED, out[0][2], struct.pack("<i", len(joined)) + np.packbits(joined).tobytes())])
 
     found = by_key(by_key(text.unionAll(told), "pack", n_packs, extend, PACKS), "part", shards, _earlier, PACKS)
@@ -177,11 +185,13 @@ def removed(docs: DataFrame, length: int = 13, gram: int = 5, id_col: str = "doc
         for p in parts:
             wins.append(p.windows(np.flatnonzero(joined[base : base + len(p.pos)])))
             base += len(p.pos)
-        h, d, _ = _least(np.concatenate([w[1] for w in wins]), np.concatenate([p.id[w[2]] for p, w in zip(parts, wins)]))
-        elsewhere = _bits([r for r in held if r[1] == WINDOWS], len(h))
-        for p, (at, own, row) in zip(parts, wins):
-            k = np.searchsorted(h, own)
-            at = at[elsewhere[k] | (d[k] < p.id[row])] if len(own) else at
+        _, _, d, place = _least_window(*(np.concatenate([w[c] for w in wins]) for c in (1, 2)), np.concatenate([p.id[w[3]] for p, w in zip(parts, wins)]))
+        elsewhere = _bits([r for r in held if r[1] == WINDOWS], len(d))
+        base = 0
+        for p, (at, *_, row) in zip(parts, wins):
+            k = place[base : base + len(at)]
+            base += len(at)
+            at = at[elsewhere[k] | (d[k] < p.id[row])]
             cover = np.zeros(len(p.start) + 1, np.int32)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + length, -1)

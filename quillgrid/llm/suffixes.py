@@ -14,7 +14,8 @@ every repeated string is seen at one of them. The steps follow the distributed s
    occurs twice go back to the packs, which remove the bytes they cover.
 
 A class with more than `most` distinct contexts (a passage in a great many documents) is not merged in one task: its
-strings go by hash to shards that count them. A group of equal documents is one context a pack, whatever its size.
+strings go by hash, 77 bits of two, to shards that count them. A group of equal documents is one context a pack, whatever its size. Elsewhere
+hashes only name candidates, and bytes decide.
 
 Edge cases: a null text has no bytes and stays null in `kept`; texts under `length` bytes are never touched; null or repeated
 doc_ids are rows like any other, as matching goes by row; an empty table gives an empty result. Removal is by bytes and may cut
@@ -57,14 +58,16 @@ class Anchors:
         if not starts.sum():
             return
         self.roll = bits.Roll(self.data)
-        self.pos, self.lo, self.hi = chosen(self.roll.windows(GRAM), self.offsets[:-1], starts, window)
+        self.pos, self.lo, self.hi = chosen(bits.grams(self.data, GRAM), self.offsets[:-1], starts, window)
         self.key = self.roll.spans(self.pos, self.pos + shared(length))
         self.context = bits.mix(self.roll.spans(self.lo, self.hi + length) + (self.pos - self.lo).astype(np.uint64))
 
-    def strings(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each string of the given anchors."""
+    def strings(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, hash and 16 bits of another hash of each string of the given anchors."""
         at = bits.ranges(self.lo[of], (self.hi - self.lo + 1)[of])
-        return at, self.roll.spans(at, at + self.length)
+        if not len(at):
+            return at, at.view(np.uint64), np.zeros(0, np.uint16)
+        return at, self.roll.spans(at, at + self.length), (bits.Roll(self.data, second=True).spans(at, at + self.length) >> np.uint64(48)).astype(np.uint16)
 
 
 def shared(length: int) -> int:
@@ -72,34 +75,47 @@ def shared(length: int) -> int:
     return length - length // 2 + 1
 
 
-def counted(keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys and their counts, or sums of weights, at most 65535."""
-    if not len(keys):
-        return keys, np.zeros(0, np.uint16)
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sums = np.diff(np.append(first, len(keys))) if weight is None else np.add.reduceat(weight[order].astype(np.int64), first)
-    return keys[first], np.minimum(sums, 65535).astype(np.uint16)
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and their counts, at most 65535."""
+    keys, count = np.unique(keys, return_counts=True)
+    return keys, np.minimum(count, 65535).astype(np.uint16)
 
 
-def question(pack: int, kind: int, keys: np.ndarray, count: np.ndarray, contexts: np.ndarray, shards: int) -> list[tuple]:
-    return [(pack, kind, k, struct.pack("<i", b - a) + keys[a:b].tobytes() + count[a:b].tobytes() + contexts[a:b].tobytes()) for k, a, b in dealt(keys, shards)]
+def paired(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted pairs as two arrays, their counts, at most 65535, and the place of each given pair among them."""
+    order = np.lexsort((more, keys))
+    keys, more = keys[order], more[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])
+    first = np.flatnonzero(new)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[first], more[first], np.minimum(np.diff(np.append(first, len(keys))), 65535).astype(np.uint16), place
 
 
-def answers(most: int, kind: int):
-    """Per key of each pack: bit 0 if it occurs twice in all, bit 1 if its contexts are more than `most`."""
+def question(pack: int, kind: int, keys: np.ndarray, count: np.ndarray, more: np.ndarray, shards: int) -> list[tuple]:
+    return [(pack, kind, k, struct.pack("<i", b - a) + keys[a:b].tobytes() + count[a:b].tobytes() + more[a:b].tobytes()) for k, a, b in dealt(keys, shards)]
+
+
+def answers(most: int | None, kind: int):
+    """Per key of each pack: bit 0 if it occurs twice in all, bit 1 if its contexts (`more`) are over `most`; without it, `more` is part of the key."""
 
     def run(shard: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         parts = []
         for *_, blob in held:
             n = struct.unpack_from("<i", blob)[0]
             parts.append((np.frombuffer(blob, np.uint64, n, 4), np.frombuffer(blob, np.uint16, n, 4 + 8 * n), np.frombuffer(blob, np.uint16, n, 4 + 10 * n)))
-        keys, count, contexts = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(keys)
-        first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+        keys, count, more = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys) if most is not None else np.lexsort((more, keys))
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        if most is None:
+            new[1:] |= more[order][1:] != more[order][:-1]
+        first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(keys)))
-        flag = (np.add.reduceat(count[order].astype(np.int64), first) > 1) | ((np.add.reduceat(contexts[order].astype(np.int64), first) > most).astype(np.uint8) << 1)
+        flag = np.add.reduceat(count[order].astype(np.int64), first) > 1
+        if most is not None:
+            flag = flag | ((np.add.reduceat(more[order].astype(np.int64), first) > most).astype(np.uint8) << 1)
         out = np.empty(len(keys), np.uint8)
         out[order] = np.repeat(flag.astype(np.uint8), size)
         cut = np.cumsum([0, *(len(k) for k, *_ in parts)])
@@ -245,12 +261,24 @@ def _anchors_of(table: pa.Table, length: int) -> Iterator[Anchors]:
             yield Anchors(part.column("text"), length)
 
 
-def _flags(held: list[tuple], keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The answers, which are in the order of the distinct keys, for each key in `of`."""
+def _contexts_of(slices: list[Anchors]):
+    """The bytes of an anchor's context, with the anchor's place in them, by the anchor's number in the pack."""
+    cuts = np.cumsum([0, *(len(a.pos) for a in slices)])
+
+    def text(i: int) -> tuple[int, bytes]:
+        k = int(np.searchsorted(cuts, i, "right")) - 1
+        a, i = slices[k], i - int(cuts[k])
+        return int(a.pos[i] - a.lo[i]), a.data[a.lo[i] : a.hi[i] + a.length].tobytes()
+
+    return text
+
+
+def _flags(held: list[tuple], n: int) -> np.ndarray:
+    """The answers, which are in the order of the n distinct keys."""
     flag = np.frombuffer(b"".join(blob for *_, blob in held), np.uint8)
-    if len(flag) != len(keys):
-        raise RuntimeError(f"{len(flag)} answers to {len(keys)} keys")
-    return flag[np.searchsorted(keys, of)] if len(keys) else np.zeros(len(of), np.uint8)
+    if len(flag) != n:
+        raise RuntimeError(f"{len(flag)} answers to {n} keys")
+    return flag
 
 
 def removed(docs: DataFrame, length: int = 400, most: int = 20000, text_col: str = "text", carry: list[str] | None = None, as_text: bool = False, pack_bytes: int = PACK_BYTES) -> DataFrame:
@@ -274,7 +302,7 @@ def removed(docs: DataFrame, length: int = 400, most: int = 20000, text_col: str
                 sample.append((int.from_bytes(a.data[p : p + 8].tobytes(), "big") >> 1, RUN, 0, b""))
         key, context = np.concatenate(keys), np.concatenate(contexts)
         unique, count = counted(key)
-        pair, first = np.unique(bits.mix(key) + context, return_index=True)
+        _, first = np.unique(bits.mix(key) + context, return_index=True)
         _, distinct = counted(key[first])
         yield rows(question(pack, ASK, unique, count, distinct, shards) + sample)
 
@@ -289,21 +317,22 @@ def removed(docs: DataFrame, length: int = 400, most: int = 20000, text_col: str
             raise RuntimeError("a pack without its text")
         slices = list(_anchors_of(unpacked(held[0][3]), length))
         key = np.concatenate([a.key for a in slices])
-        flag = _flags(held[1:], np.unique(key), key)
+        unique, which = np.unique(key, return_inverse=True)
+        flag = _flags(held[1:], len(unique))[which]
         items, window, hot, done, base = [], [], [], {}, 0
         for a in slices:
             own = flag[base : base + len(a.pos)]
             raw = a.data.tobytes()
             for i in np.flatnonzero(own == 1).tolist():
-                context = int(a.context[i])
-                if context in done:
-                    done[context][3] = min(255, done[context][3] + 1)
+                p = int(a.pos[i])
+                text = raw[p : int(a.hi[i]) + length], raw[int(a.lo[i]) : p]
+                if text in done:
+                    done[text][3] = min(255, done[text][3] + 1)
                 else:
-                    p = int(a.pos[i])
-                    done[context] = item = [raw[p : int(a.hi[i]) + length], raw[int(a.lo[i]) : p], base + i, 1]
+                    done[text] = item = [*text, base + i, 1]
                     items.append(item)
             if len(of := np.flatnonzero(own == 3)):
-                window.append(a.strings(of)[1])
+                window.append(a.strings(of)[1:])
                 hot.append(of + base)
             base += len(a.pos)
         items.sort()
@@ -313,8 +342,8 @@ def removed(docs: DataFrame, length: int = 400, most: int = 20000, text_col: str
             a, b = np.searchsorted(where, [k, k + 1])
             out.append((pack, RUN, k, front_coded(items[a:b])))
         if hot:
-            unique, count = counted(np.concatenate(window))
-            out += question(pack, WINDOWS, unique, count, np.zeros(len(unique), np.uint16), shards)
+            unique, more, count, _ = paired(*map(np.concatenate, zip(*window)))
+            out += question(pack, WINDOWS, unique, count, more, shards)
             out.append((pack, HOT, 0, np.concatenate(hot).astype(np.uint32).tobytes()))
         if out:
             yield rows(out)
@@ -344,7 +373,7 @@ def removed(docs: DataFrame, length: int = 400, most: int = 20000, text_col: str
             yield rows([(held[r][0], MARKS, part, np.array(x, np.uint32).tobytes()) for r, x in found.items()])
 
     marks = by_key(sent.where(F.col("kind") == RUN), "part", len(splitters) + 1, merge, PACKS)
-    counts = by_key(sent.where(F.col("kind") == WINDOWS), "part", shards, answers(1 << 60, WINDOW_ANSWER), PACKS)
+    counts = by_key(sent.where(F.col("kind") == WINDOWS), "part", shards, answers(None, WINDOW_ANSWER), PACKS)
 
     def cut(pack: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         table = unpacked(held[0][3])
@@ -355,28 +384,31 @@ def removed(docs: DataFrame, length: int = 400, most: int = 20000, text_col: str
         lo, hi = (np.searchsorted(context, context[mark[:, 0]], side, sorter=order) for side in ("left", "right"))
         of, times = order[bits.ranges(lo, hi - lo)], hi - lo
         least, high = np.repeat(mark[:, 1], times), np.repeat(mark[:, 2], times)
+        texts = _contexts_of(slices)  # equal hashes are candidates, equal bytes decide
+        same = np.fromiter((texts(i) == texts(k) if i != k else True for i, k in zip(of.tolist(), np.repeat(mark[:, 0], times).tolist())), bool, len(of))
+        of, least, high = of[same], least[same], high[same]
         hot = np.concatenate([np.frombuffer(b, np.uint32) for _, kind, _, b in held if kind == HOT] or [np.zeros(0, np.uint32)]).astype(np.int64)
-        keys = np.zeros(0, np.uint64)
+        gone_at: list[np.ndarray] = []
         if len(hot):
             base, window = 0, []
             for a in slices:
-                window.append(a.strings(hot[(hot >= base) & (hot < base + len(a.pos))] - base)[1] if len(a.pos) else keys)
+                window.append(a.strings(hot[(hot >= base) & (hot < base + len(a.pos))] - base))
                 base += len(a.pos)
-            keys = np.unique(np.concatenate(window))
-        told = [x for x in held if x[1] == WINDOW_ANSWER]
+            at, *keys = map(np.concatenate, zip(*window))
+            unique, _, _, place = paired(*keys)
+            again = (_flags([x for x in held if x[1] == WINDOW_ANSWER], len(unique))[place] & 1) > 0
+            cuts = np.cumsum([0, *(len(w[0]) for w in window)])
+            gone_at = [at[x:y][again[x:y]] for x, y in zip(cuts, cuts[1:])]
         base = row = 0
-        for a in slices:
+        for k, a in enumerate(slices):
             cover = np.zeros(len(a.data) + 1, np.int32)
             mine = (of >= base) & (of < base + len(a.pos))
             pos = a.pos[of[mine] - base]
             np.add.at(cover, pos - high[mine], 1)
             np.add.at(cover, pos - least[mine] + length, -1)
-            own = hot[(hot >= base) & (hot < base + len(a.pos))] - base
-            if len(own):
-                at, window = a.strings(own)
-                at = at[(_flags(told, keys, window) & 1) > 0]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + length, -1)
+            if gone_at:
+                np.add.at(cover, gone_at[k], 1)
+                np.add.at(cover, gone_at[k] + length, -1)
             base += len(a.pos)
             gone = np.cumsum(cover[:-1]) > 0
             n = len(a.offsets) - 1
