@@ -8,6 +8,7 @@ a pack, whatever its number of rows, and no task ever holds more than one shard
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,16 +22,47 @@ from . import bits
 
 PACKS = "pack long, kind int, part int, blob binary"
 PACK_BYTES = 6 << 20
+MANY_BYTES = 200e9
+#: A node with more edges, or more than this share of all, is a hub.
+HUB, HUB_SHARE, HUB_PARTS = 1000, 1 / 500, 64
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows from the shared checkpoint folder; the lineage ends there, so a lost executor costs no earlier stage."""
+    """The rows from the shared checkpoint folder; the lineage ends there, so a lost executor costs no earlier stage.
+
+    The folder is spark.checkpoint.dir. Without it a folder of this machine is used by local masters alone, whose executors are here.
+    """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgrid-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quillgrid-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a checkpoint that nothing will read again."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def pack_bytes(df: DataFrame) -> int:
+    """Bytes of a pack of df: PACK_BYTES up to about MANY_BYTES of input, by Spark's own estimate, and growing with its square root beyond.
+
+    Every pack sends a message to every shard, and shards are a fixed part of the packs, so the messages grow with the square of the number
+    of packs; as that grows with the square root of the input, they grow with the input. At 100 TB a pack has some 130 MB, and
+    a message of a 6 MB pack's worth of keys for each of 180,000 shards some 500 bytes.
+    """
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return PACK_BYTES if estimate >= 1 << 60 else int(PACK_BYTES * max(1.0, (estimate / MANY_BYTES) ** 0.5))
+
+
 def packed(batch: pa.RecordBatch | pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -42,8 +74,9 @@ def unpacked(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
-def packs(docs: DataFrame, text: str = "text", limit: int = PACK_BYTES) -> DataFrame:
+def packs(docs: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
     """One row for each pack, checkpointed: pack id, kind 0, part 0, blob. All columns of docs are kept."""
+    limit = limit or pack_bytes(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = TaskContext.get().partitionId() << 24, 0
@@ -117,12 +150,18 @@ def dealt(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's connected component, for the nodes that have edges.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014) with a checkpoint after each round. The least
-    neighbour is an aggregate with map-side combine that is joined back, so a hub's edges are never in one task.
+    Alternating large-star and small-star steps (Kiveris et al., 2014) with a checkpoint after each round, of which only the last is
+    kept. The least neighbour is an aggregate with map-side combine. Where it is joined back, a hub's is broadcast (there
+    are at most 1 / HUB_SHARE hubs) and its edges are dealt over HUB_PARTS parts, so they are never in one task.
     """
 
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
+    def least(pairs: DataFrame, edges: int) -> DataFrame:
+        found = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        many = max(HUB, int(edges * HUB_SHARE))
+        hubs = F.broadcast(found.where(F.col("n") > many).select("u", F.col("m").alias("hub")))
+        rest = found.where(F.col("n") <= many).select("u", F.lit(0).alias("part"), "m")
+        own = pairs.join(hubs, "u", "left").withColumn("part", F.when(F.col("hub").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(HUB_PARTS)).cast("int")))
+        return own.join(rest, ["u", "part"], "left").select("u", "v", F.coalesce("hub", "m").alias("m"))
 
     def state(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -130,10 +169,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     pairs = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = state(pairs)
     for _ in range(most):
+        size = 2 * before[0]
         both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
-        small = least(large)
-        pairs = checkpointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        large = least(both, size).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        small = least(large, size)
+        last, pairs = pairs, checkpointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        forget(last)
         now = state(pairs)
         if now == before:
             break

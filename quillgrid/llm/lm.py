@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bits
-from .exchange import PACK_BYTES, PACKS, by_key, checkpointed, each_pack, packs, rows, shard_of, unpacked
+from .exchange import PACKS, by_key, checkpointed, each_pack, packs, rows, shard_of, unpacked
 
 SLICE = 1 << 20
 TEXT, GRAMS, STATS = range(3)
@@ -301,7 +301,7 @@ def _contexts(table: pa.Table, wanted: np.ndarray | None) -> tuple[list[tuple[in
     return list(zip(key.view(np.int64).tolist(), count.tolist())) if wanted is not None else [(k, c) for k, c in zip(key[count > 1].view(np.int64).tolist(), count[count > 1].tolist())], n
 
 
-def scored(docs: DataFrame, pack_bytes: int = PACK_BYTES, share: float = FREQUENT) -> DataFrame:
+def scored(docs: DataFrame, pack_bytes: int | None = None, share: float = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs."""
     text = packs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), limit=pack_bytes)
     n_packs = max(1, text.count())

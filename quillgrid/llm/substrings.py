@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bits
-from .exchange import PACK_BYTES, PACKS, by_key, dealt, each_pack, packs, rows, unpacked
+from .exchange import PACKS, by_key, dealt, each_pack, packs, rows, unpacked
 from .winnow import chosen
 
 SLICE = 1 << 20
@@ -144,7 +144,7 @@ def _bits(held: list[tuple], n: int) -> np.ndarray:
     return out.astype(bool)
 
 
-def removed(docs: DataFrame, length: int = 13, gram: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def removed(docs: DataFrame, length: int = 13, gram: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, pack_bytes: int | None = None) -> DataFrame:
     """The columns in carry, with kept string, n_words and n_removed long for each row of docs."""
     carry = [id_col] if carry is None else carry
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

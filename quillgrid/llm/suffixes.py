@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bits
-from .exchange import PACK_BYTES, PACKS, by_key, checkpointed, dealt, each_pack, packs, rows, unpacked
+from .exchange import PACKS, by_key, checkpointed, dealt, each_pack, packs, rows, unpacked
 from .winnow import chosen
 
 GRAM = 16
@@ -281,7 +281,7 @@ def _flags(held: list[tuple], n: int) -> np.ndarray:
     return flag
 
 
-def removed(docs: DataFrame, length: int = 400, most: int = 20000, text_col: str = "text", carry: list[str] | None = None, as_text: bool = False, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def removed(docs: DataFrame, length: int = 400, most: int = 20000, text_col: str = "text", carry: list[str] | None = None, as_text: bool = False, pack_bytes: int | None = None) -> DataFrame:
     """The columns in carry, with kept, n_bytes, n_removed and n_spans long for each row of docs.
 
     kept is binary, or with as_text a string without the characters that a removal cuts.
