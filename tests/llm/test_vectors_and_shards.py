@@ -66,3 +66,30 @@ def test_shards_balance_and_keep_groups(spark):
 def test_shards_of_little(spark):
     assert sharding.sharded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     check([(1, "a")], 16, sharding.sharded(spark.createDataFrame([(1, "a")], "doc_id long, text string")).collect())
+
+
+def test_groups_are_placed_by_the_dot_product():
+    draw = np.random.default_rng(4)
+    sizes = sharding.shares(draw.integers(1, 50, (200, 3)).astype(float))
+    residual, want = [[1 / 16] * 3 for _ in range(16)], {}
+    for i in sorted(range(200), key=lambda i: (-max(sizes[i]), i)):
+        worth = [sum(r * x * w for r, x, w in zip(own, sizes[i], sharding.WEIGHT)) for own in residual]
+        want[i] = worth.index(max(worth))
+        residual[want[i]] = [r - x for r, x in zip(residual[want[i]], sizes[i])]
+    assert sharding.placed(sizes, 16).tolist() == [want[i] for i in range(200)]
+
+
+def test_shards_by_several_levels_of_batches(spark):
+    draw = random.Random(12)
+    rows = [(i, " ".join("x" * draw.randint(1, 9) + str(i) for _ in range(draw.randint(1, 60)))) for i in range(4000)]
+    rows += [(9000 + i, rows[i][1]) for i in range(300)] + [(20_000 + i, "hot text") for i in range(2100)]
+    rows += [(30_000 + i, "a group of a twentieth of all rows, whole") for i in range(320)]
+    out = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), batch=1000).collect()
+    check(rows, 16, out)
+    sums, groups = np.zeros((16, 2)), {}
+    for r in out:
+        sums[r.shard] += (r.size, 1)
+        groups.setdefault(r.text_crc32, set()).add(r.shard)
+    assert (abs(sums / sums.mean(0) - 1).max(0) < (0.04, 0.3)).all(), sums
+    hot = zlib.crc32(b"hot text")
+    assert len(groups.pop(hot)) > 8 and all(len(s) == 1 for s in groups.values())
