@@ -5,8 +5,8 @@ Vectors lie in packed blocks, each with a table of its vectors' distances to the
 q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2. A query takes the candidates of a block in the order of their bounds and stops at the first bound
 below the k-th best score it has; blocks of one task share that score. Scores are exact integers; ties go to the smaller vec_id.
 
-Queries are a stated set; they are sent in waves of about `wave`, each bounded in size, and every wave meets all blocks. A task keeps k
-results a query. The distances are rounded, so bounds have a margin and never eliminate wrongly.
+Queries are a stated set; they are sent in waves of about `wave`, each bounded in size and a job of its own, and every wave meets all blocks.
+Neither the driver nor a task holds more than one wave, and a task keeps k results a query. The distances are rounded, so bounds have a margin and never eliminate wrongly.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, nor does a null vec_id; vectors of different
 lengths never meet; rows that repeat a vec_id are candidates each, except for the query with that id, of which the least vector asks; scores
@@ -28,7 +28,6 @@ from .exchange import PACKS, checkpointed, rows
 PIVOTS = 32
 BLOCK = 8192
 WAVE = 8192
-LIMIT = float(1 << 62)
 
 
 def integers(column: pa.Array, scale: float) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
@@ -118,13 +117,20 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: float = 256.0, i
     blocks = checkpointed(base.mapInArrow(block, PACKS))
     asked = base.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     n_waves = max(1, -(-asked.count() // wave))
-    out = None
-    for w in range(n_waves):
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def searched(w: int) -> DataFrame:
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_waves)) == w).orderBy("vec_id").collect()
         found = blocks.mapInArrow(_search([(r[0], r[1]) for r in own], by_size, k, scale), "query_id long, vec_id long, score long")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    if n_waves == 1:
+        return searched(0)
+    out = None
+    for w in range(n_waves):  # a job a wave: what stays of it is a checkpoint of k rows a query
+        found = checkpointed(searched(w))
         out = found if out is None else out.unionAll(found)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out
 
 
 def _search(queries: list[tuple[int, list[float]]], pivots: dict[int, np.ndarray], k: int, scale: float):

@@ -27,6 +27,13 @@ def test_top_k_is_brute_force(spark):
     assert topk.top_k(frame.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_top_k_with_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 2.0]), (50, [0.0, 0.0]), (3, None)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 50 = 0", k=4).orderBy("query_id", "rank").collect()]
+    # the least vector of id 0 asks, (0, 1); every other row is a candidate
+    assert got == [(0, 1, 2, 512 * 256), (0, 2, 1, 128 * 256), (0, 3, 1, 128 * 256), (0, 4, 50, 0), (50, 1, 0, 0), (50, 2, 0, 0), (50, 3, 1, 0), (50, 4, 1, 0)]
+
+
 def test_large_components_are_exact():
     x, q = np.array([[2.0**40, 3.0], [1.0, -(2.0**41)]]), np.array([2.0**20, 1.0])
     assert topk.dots(x, q).tolist() == [2**60 + 3, 2**20 - 2**41]
