@@ -32,6 +32,8 @@ from .exchange import checkpointed, components
 BANDS = ((0, 21), (21, 21), (42, 22))
 HAMMING = 15
 SLICE = 1 << 20
+#: Fingerprints at one anchor up to which all pairs are compared.
+DENSE = 512
 
 
 def fingerprint_array(column: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -117,37 +119,51 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def links(anchor: np.ndarray, fp: np.ndarray, distance: int = 4, buffer: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def links(anchor: np.ndarray, fp: np.ndarray, distance: int = 4, buffer: int = 1 << 20, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links at each anchor; rows are sorted by anchor.
 
-    Works by shifts: at shift s, row i meets row i + s of the same anchor. Pairs in hand are reduced to their forest
-    whenever there are `buffer` of them, so memory does not follow the square of a group.
+    A group of at most `dense` rows is compared pair by pair. In a larger one two linked fingerprints, cut into distance + 2 blocks, have two
+    blocks alike: for each two blocks only rows with equal ones are compared, so the work does not follow the square of the group.
+    Pairs in hand are reduced to their forest whenever there are `buffer` of them.
     """
     n = len(fp)
-    left = np.zeros(0, np.int64)
-    right = np.zeros(0, np.int64)
-    alive, shift = np.arange(n), 1
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def reduced() -> tuple[np.ndarray, np.ndarray]:
-        root = _forest(np.concatenate([left, *(x[0] for x in held)]), np.concatenate([right, *(x[1] for x in held)]), n)
+        root = _forest(*(np.concatenate([np.zeros(0, np.int64), *(x[c] for x in held)]) for c in (0, 1)), n)
         kept = np.flatnonzero(root != np.arange(n))
         return kept, root[kept]
 
-    while True:
-        alive = alive[alive + shift < n]
-        alive = alive[anchor[alive] == anchor[alive + shift]]
-        if not len(alive):
-            break
-        close = alive[np.bitwise_count(fp[alive] ^ fp[alive + shift]) <= distance]
-        if len(close):
-            held.append((close, close + shift))
-            size += len(close)
-        if size > buffer:
-            left, right = reduced()
-            held, size = [], 0
-        shift += 1
+    def compare(rows: np.ndarray, key: np.ndarray) -> None:
+        """Links between rows of equal keys, which are side by side: at shift s, row i meets row i + s."""
+        nonlocal held, size
+        own, alive, shift = fp[rows], np.arange(len(rows)), 1
+        while True:
+            alive = alive[alive + shift < len(rows)]
+            alive = alive[key[alive] == key[alive + shift]]
+            if not len(alive):
+                return
+            close = alive[np.bitwise_count(own[alive] ^ own[alive + shift]) <= distance]
+            if len(close):
+                held.append((rows[close], rows[close + shift]))
+                size += len(close)
+            if size > buffer:
+                held, size = [reduced()], 0
+            shift += 1
+
+    if n:
+        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        large = np.repeat(np.diff(np.append(first, n)) > dense, np.diff(np.append(first, n)))
+        few, rows = np.flatnonzero(~large), np.flatnonzero(large)
+        compare(few, anchor[few])
+        cuts = np.linspace(0, 64, distance + 3).astype(int).tolist()
+        blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
+        for x, y in combinations(blocks, 2) if len(rows) else ():
+            value = fp[rows] & np.uint64(x | y)
+            order = np.lexsort((value, anchor[rows]))
+            group, value = anchor[rows][order], value[order]
+            compare(rows[order], np.cumsum(np.concatenate(([True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])))))
     return reduced()
 
 

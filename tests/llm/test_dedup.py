@@ -52,6 +52,16 @@ def test_simhash_links_within_four_bits_meet():
     assert all(frozenset((a, b)) in linked for a, b in zip(base.tolist(), near.tolist()) if a != b)
 
 
+def test_simhash_links_of_a_dense_anchor_are_all_pairs():
+    draw = np.random.default_rng(4)
+    fp = np.unique(np.concatenate([b ^ np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 64, (60, 5)).astype(np.uint64), axis=1) for b in draw.integers(0, 1 << 63, 12, dtype=np.uint64)]))
+    anchor = np.repeat([1, 2], [len(fp), len(fp)])
+    both = np.concatenate((fp, fp))
+    want = simhash.links(anchor, both, dense=1 << 30)
+    got = simhash.links(anchor, both, dense=10, buffer=100)
+    assert len(want[0]) > 50 and all(np.array_equal(a, b) for a, b in zip(want, got))
+
+
 def test_simhash_edges(no_docs, odd_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     rows = simhash.near_duplicates(odd_docs).collect()
