@@ -7,7 +7,8 @@ The trie is cut by ranges of the hash of the first word, so a shard holds whole
 sequence of pointers, monotone, gives each word's range of successors; the second level has the successors, each as
 the rank of its context followed by 28 bits of its hash, which makes the level one monotone sequence, again in Elias-Fano form. The
 discounted probabilities and back-off weights are quantised to 8 bits in equal-population bins, as in memory-mapped language
-models; the levels of a shard lie in one anonymous memory map. A query (v, w) is a search for the successor of its value within the range of v.
+models; all levels of a shard lie in one anonymous memory map and are queried as they lie there. A query (v, w) takes the range of v
+from two pointers and searches the successor of its value in it: select on the high bits gives a bucket, bisection of packed low bits the place.
 
 A pack of documents sends its distinct words and bigrams once, with their counts in training documents, to the shards of their contexts.
 A shard adds up all packs, builds its trie, and answers each pack in the order of its keys; with the answers a pack scores its documents.
@@ -43,56 +44,106 @@ END, BOS = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0xB05B05B05B05B057)
 WIDTH = 28
 DISCOUNT = 0.75
 LEVELS = 255
+#: Queries that are answered together.
+QUERIES = 1 << 16
 #: A word with this share of a pack's tokens is a candidate for splitting; with this share of all it is split.
 FREQUENT = 1 / 256
 SPLIT = 16
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: Position of the k-th set bit of a byte.
+_SELECT = np.argsort(1 - _BITS.astype(np.int8), axis=1, kind="stable").astype(np.int64)
+
+
 class EliasFano:
-    """A monotone sequence of 64-bit integers: low bits packed, high bits in unary."""
+    """A monotone sequence of 64-bit integers: low bits packed, high bits in unary with the number of ones before each 256 bits.
+
+    It is read as it lies: an element by the select of its one, a bucket of equal high bits by the selects of two zeros.
+    """
 
     BLOCK = 1 << 15
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray) -> None:
+        self.n, self.low_bits, self.low, self.high, self.before = n, low_bits, low, high, before
+        self.words = np.ndarray(max(0, len(low) - 7), "<u8", low, strides=(1,)) if len(low) > 7 else np.zeros(1, np.uint64)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
-        if not n:
-            return cls(0, 0, np.zeros(0, np.uint8), np.zeros(0, np.uint8))
-        low_bits = max(0, int(values[-1]).bit_length() - max(1, n).bit_length())
+        low_bits = min(56, max(0, int(values[-1]).bit_length() - n.bit_length())) if n else 0
         parts = []
         for a in range(0, n, cls.BLOCK):
             part = values[a : a + cls.BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
             parts.append(np.packbits(np.unpackbits(part, axis=1, count=low_bits, bitorder="little").ravel(), bitorder="little") if low_bits else np.zeros(0, np.uint8))
-        high = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        unary = np.zeros(int(high[-1]) + 1, np.uint8)
-        unary[high] = 1
-        return cls(n, low_bits, np.concatenate(parts), np.packbits(unary, bitorder="little"))
+        at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        unary = np.zeros(((int(at[-1]) if n else 0) // 256 + 1) * 256 + 256, np.uint8)  # zeros follow the last one
+        unary[at] = 1
+        high = np.packbits(unary, bitorder="little").view("<u8")
+        ones = np.bitwise_count(high).reshape(-1, 4).sum(1)
+        return cls(n, low_bits, np.concatenate([*parts, np.zeros(8, np.uint8)]), high, np.concatenate(([0], np.cumsum(ones)))[:-1].astype(np.uint32))
+
+    def select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """Position of the k-th one, or zero, of the unary part."""
+        before = self.before.astype(np.int64)
+        before = before if one else 256 * np.arange(len(before)) - before
+        block = np.searchsorted(before, k, "right") - 1
+        rest = k - before[block]
+        word = self.high[4 * block[:, None] + np.arange(4)]
+        word = word if one else ~word
+        place = block * 256
+        for step, part in ((64, word), (8, None)):
+            part = chosen.view(np.uint8).reshape(-1, 8) if part is None else part
+            done = np.cumsum(np.bitwise_count(part), axis=1, dtype=np.int64)
+            own = (done <= rest[:, None]).sum(1)
+            rest = rest - np.where(own > 0, np.take_along_axis(done, np.maximum(own - 1, 0)[:, None], 1)[:, 0], 0)
+            chosen = np.ascontiguousarray(np.take_along_axis(part, own[:, None], 1)[:, 0])
+            place = place + step * own
+        return place + _SELECT[chosen, rest]
+
+    def low_at(self, i: np.ndarray) -> np.ndarray:
+        at = i * self.low_bits
+        return (self.words[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(i), np.uint64)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The elements at these places."""
+        return (self.select(i, True) - i).astype(np.uint64) << np.uint64(self.low_bits) | self.low_at(i)
+
+    def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end of the elements with these high bits."""
+        high = np.minimum(high, 64 * len(self.high) - self.n - 1)  # the zeros there are
+        first = np.where(high > 0, self.select(np.maximum(high - 1, 0), False) - high + 1, 0)
+        return first, self.select(high, False) - high
+
+    def successor(self, value: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place in first..end of the first element not less than each value: by its bucket, then by bisection of the low bits."""
+        a, b = self.bucket((value >> np.uint64(self.low_bits)).astype(np.int64))
+        at, last = np.minimum(np.maximum(a, first), end), np.maximum(np.minimum(b, end), first)
+        low = value & np.uint64((1 << self.low_bits) - 1)
+        while len(alive := np.flatnonzero(at < last)):
+            middle = (at[alive] + last[alive]) >> 1
+            less = self.low_at(middle) < low[alive]
+            at[alive] = np.where(less, middle + 1, at[alive])
+            last[alive] = np.where(less, last[alive], middle)
+        return at
 
     def values(self) -> np.ndarray:
+        """All elements, for a reader that wants every one."""
         out = np.zeros(self.n, np.uint64)
-        size = self.BLOCK * self.low_bits // 8
-        for k, a in enumerate(range(0, self.n, self.BLOCK)):
-            n = min(self.BLOCK, self.n - a)
-            if self.low_bits:
-                wide = np.zeros((n, 64), np.uint8)
-                wide[:, : self.low_bits] = np.unpackbits(self.low[k * size : (k + 1) * size], count=n * self.low_bits, bitorder="little").reshape(n, self.low_bits)
-                out[a : a + n] = np.packbits(wide, axis=1, bitorder="little").view("<u8").ravel()
-        if self.n:
-            ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-            out |= (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        return out
+        for a in range(0, self.n, self.BLOCK):
+            i = np.arange(a, min(self.n, a + self.BLOCK))
+            out[a : a + self.BLOCK] = self.low_at(i)
+        ones = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))
+        return out | (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
 
     def tobytes(self) -> bytes:
-        return struct.pack("<qqqq", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        return struct.pack("<qqqqq", self.n, self.low_bits, len(self.low), len(self.high), len(self.before)) + self.low.tobytes() + self.high.tobytes() + self.before.tobytes()
 
     @classmethod
     def read(cls, raw: bytes | mmap.mmap, at: int) -> tuple[EliasFano, int]:
-        n, low_bits, a, b = struct.unpack_from("<qqqq", raw, at)
-        at += 32
-        return cls(n, low_bits, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a)), at + a + b
+        n, low_bits, a, b, c = struct.unpack_from("<qqqqq", raw, at)
+        at += 40
+        return cls(n, low_bits, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, "<u8", b, at + a), np.frombuffer(raw, np.uint32, c, at + a + 8 * b)), at + a + 8 * b + 4 * c
 
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,34 +180,22 @@ class Trie:
         raw = [EliasFano.of(np.concatenate(([0], np.cumsum(n))).astype(np.uint64)).tobytes(), EliasFano.of(value).tobytes(), code.tobytes(), weight.tobytes()]
         self.map = mmap.mmap(-1, max(1, sum(map(len, raw))))
         self.map.write(b"".join(raw))
-        pointer, at = EliasFano.read(self.map, 0)
+        self.pointer, at = EliasFano.read(self.map, 0)
         self.level, at = EliasFano.read(self.map, at)
         self.code = np.frombuffer(self.map, np.uint8, len(code), at)
         self.weight = np.frombuffer(self.map, np.uint8, words, at + len(code))
-        self.pointer = pointer.values().astype(np.int64)
-        low = self.level
-        unary = np.unpackbits(low.high, bitorder="little") if low.n else np.zeros(0, np.uint8)
-        self.bucket = np.concatenate(([0], np.flatnonzero(unary == 0) - np.arange((unary == 0).sum()), [low.n]))
-        self.values = low.values()
 
     def successor(self, value: np.ndarray) -> np.ndarray:
-        """The code of each query value: the first successor not less than it, by bisection of its context's range within its bucket of high bits."""
+        """The code of each query value: the successor of it within the range that the pointers give to its context, if that equals it."""
         out = np.zeros(len(value), np.uint8)
-        if not self.level.n or not len(value):
-            return out
-        high = np.minimum((value >> np.uint64(self.level.low_bits)).astype(np.int64), len(self.bucket) - 2)
-        context = (value >> np.uint64(WIDTH)).astype(np.int64)
-        at = np.maximum(self.bucket[high], self.pointer[context])
-        end = np.minimum(self.bucket[high + 1], self.pointer[context + 1])
-        last = end.copy()
-        while len(alive := np.flatnonzero(at < last)):
-            middle = (at[alive] + last[alive]) >> 1
-            less = self.values[middle] < value[alive]
-            at[alive] = np.where(less, middle + 1, at[alive])
-            last[alive] = np.where(less, last[alive], middle)
-        found = np.flatnonzero(at < end)
-        found = found[self.values[at[found]] == value[found]]
-        out[found] = self.code[at[found]]
+        for a in range(0, len(value) if self.level.n else 0, QUERIES):
+            own = value[a : a + QUERIES]
+            context = (own >> np.uint64(WIDTH)).astype(np.int64)
+            first, end = (self.pointer.get(c).astype(np.int64) for c in (context, context + 1))
+            at = self.level.successor(own, first, end)
+            found = np.flatnonzero(at < end)
+            found = found[self.level.get(at[found]) == own[found]]
+            out[a + found] = self.code[at[found]]
         return out
 
 

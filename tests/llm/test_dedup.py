@@ -151,3 +151,17 @@ def test_elias_fano_round_trip():
         assert np.array_equal(own.values(), values)
         back, _ = EliasFano.read(own.tobytes(), 0)
         assert np.array_equal(back.values(), values)
+
+
+def test_elias_fano_is_queried_as_it_lies():
+    draw = np.random.default_rng(7)
+    for n, top in ((1, 1), (5, 1 << 60), (3000, 1 << 40), (70_000, 1 << 33), (5000, 300)):
+        values = np.sort(draw.integers(0, top, n, dtype=np.uint64))
+        own, _ = EliasFano.read(b"x" + EliasFano.of(values).tobytes(), 1)
+        i = draw.integers(0, n, 400)
+        assert np.array_equal(own.get(i), values[i])
+        asked = np.concatenate((draw.integers(0, top + top // 4 + 1, 300, dtype=np.uint64), values[i]))
+        first = draw.integers(0, n + 1, len(asked))
+        end = np.maximum(first, draw.integers(0, n + 1, len(asked)))
+        want = [f + int(np.searchsorted(values[f:e], v)) for v, f, e in zip(asked, first.tolist(), end.tolist())]
+        assert own.successor(asked, first, end).tolist() == want, (n, top)
