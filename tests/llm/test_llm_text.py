@@ -217,3 +217,38 @@ def test_decontamination_with_a_hot_seed_stays_small():
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     assert own.overlaps(pa.array([" ".join(f"{hot} x{k} y{k} z{k}" for k in range(20_000))]), 13, 0.8) == [[]]
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def auc(score: np.ndarray, label: np.ndarray) -> float:
+    place = np.argsort(np.argsort(score))
+    good, bad = (label == 1).sum(), (label == 0).sum()
+    return (place[label == 1].sum() - good * (good - 1) / 2) / (good * bad)
+
+
+def test_quality_by_words_where_ratios_do_not_tell():
+    """Good and bad documents differ in a tenth of their words alone, which are made of the same letters."""
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    common, topic = [word() for _ in range(300)], [[word() for _ in range(12)] for _ in range(2)]
+    label = np.array([draw.randrange(2) for _ in range(1200)])
+    texts = [" ".join(draw.choice(topic[y]) if draw.random() < 0.1 else draw.choice(common) for _ in range(80)) for y in label]
+    x = quality.features(pa.array(texts))
+    full = quality.bradley_terry(x[:800], label[:800]).strength(x[800:])
+    plain = x.copy()
+    plain[:, quality.SURFACE :] = 0
+    ratios = quality.bradley_terry(plain[:800], label[:800]).strength(plain[800:])
+    assert auc(full, label[800:]) > 0.93 and auc(ratios, label[800:]) < 0.65
+
+
+def test_quality_features_are_of_each_text_alone():
+    texts = [None, "", "a", "ab cd", "words  of\na text, of words", "x" * 300, "Ünï códe !! 123"]
+    together = quality.features(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        assert np.allclose(together[k], quality.features(pa.array([t], pa.string()))[0], atol=1e-6), t
+
+
+def test_quality_of_ties_and_repeated_rows(spark):
+    rows = [(i, "Some plain words of a text" if i % 2 else "SHOUTING!!! $$$ @@@") for i in range(60)] + [(3, "Some plain words of a text")] * 3
+    labels = [(i, i % 2) for i in range(60)] + [(5, 0), (7, 1), (7, 1)]
+    got = quality.predicted(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(got) == 63 and len({r.score for r in got}) == 2 and all(r.predicted == r.doc_id % 2 for r in got)
