@@ -1,66 +1,180 @@
-"""Postings, BM25 and the match operators over them. All queries of a batch run in one plan."""
+"""Postings with positions, BM25 and the match operators over them. All queries of a batch run in one plan.
+
+An index is a table (bucket, key, term, pos, dl): the positions of a term in a document, whose indexed fields have dl tokens; the fields' positions lie
+GAP apart. It is made once (sources.store keeps it, a directory for each bucket of terms) and read by the buckets and terms of the queries.
+
+A query is a list of words, of which each is a phrase: a word with a hyphen or underscore gives several tokens that have to stand side by side.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 K1, B = 1.2, 0.75
+GAP = 1 << 24
+BUCKETS = 32
+#: Characters between words in the name of a phrase.
+_JOIN = " "
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings and the documents' sizes (key, dl), with the key columns and the fields in the order of their positions."""
+
+    postings: DataFrame
+    sizes: DataFrame
+    key: list[str]
+    fields: list[str]
+
+    @classmethod
+    def of(cls, docs: DataFrame, key: list[str], fields: list[str]) -> Index:
+        """The index of docs, computed where it is used."""
+
+        def placed(k: int, column: str) -> Column:
+            return F.transform(T.tokens(F.coalesce(F.col(column), F.lit(""))), lambda t, i: F.struct(t.alias("term"), (i + k * GAP).alias("pos")))
+
+        own = F.concat(*(placed(k, c) for k, c in enumerate(fields)))
+        base = docs.select(*key, own.alias("own")).withColumn("dl", F.size("own"))
+        found = base.select(*key, "dl", F.explode("own").alias("t")).groupBy(*key, "dl", "t.term").agg(F.sort_array(F.collect_list("t.pos")).alias("pos"))
+        return cls(found.select(bucket(F.col("term")), *key, "term", "pos", "dl"), base.select(*key, "dl"), key, fields)
+
+    def within(self, weights: dict[str, float] | None) -> tuple[Column, Column]:
+        """Positions in the weighted fields, and the sum of their weights."""
+        weights = weights or dict.fromkeys(self.fields, 1.0)
+        of = F.array(*(F.lit(float(weights.get(c, 0.0))) for c in self.fields))
+        field = lambda p: F.get(of, F.floor(p / GAP).cast("int"))
+        if len(self.fields) == 1:
+            return F.col("pos"), F.size("pos") * weights[self.fields[0]]
+        return F.filter("pos", lambda p: field(p) > 0), F.aggregate("pos", F.lit(0.0), lambda s, p: s + field(p))
+
+
+@dataclass(frozen=True)
+class Words:
+    """Words of a stated list of queries, as literals of the plan, with the least and the greatest number of tokens of one."""
 
+    frame: DataFrame
+    least: int
+    most: int
 
-def postings(docs: DataFrame, key: list[str], fields: dict[str, float]) -> DataFrame:
-    """(key, term, f, n): weighted term frequency, and occurrences, over the fields."""
 
-    def weighted(column: str, weight: float) -> Column:
-        return F.transform(T.tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+def values(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A few rows as literals of the plan: the optimizer knows their size and folds what is computed of them."""
+    if not rows:
+        return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in columns.items()))
 
-    own = [weighted(c, w) for c, w in fields.items()]
-    return docs.select(*key, F.explode(F.concat(*own)).alias("t")).groupBy(*key, "t.term").agg(F.sum("t.w").alias("f"), F.count("*").alias("n"))
+    def literal(x) -> str:
+        if isinstance(x, list):
+            return f"array({', '.join(map(literal, x))})"
+        return "NULL" if x is None else str(x) if not isinstance(x, str) else "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
+    own = ", ".join(f"({', '.join(map(literal, r))})" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {own} AS t({', '.join(columns)})").select(*(F.col(c).cast(t).alias(c) for c, t in columns.items()))
 
-def lengths(docs: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """(key, dl): tokens in all indexed fields."""
-    return docs.select(*key, sum((F.size(T.tokens(F.col(c))) for c in fields[1:]), F.size(T.tokens(F.col(fields[0])))).cast("long").alias("dl"))
 
+def literal_words(spark: SparkSession, rows: list[tuple[int, list[list[str]]]]) -> Words:
+    """The words (each its tokens) of each query."""
+    own = [(qid, k, toks, _JOIN.join(toks)) for qid, words in rows for k, toks in enumerate(words) if toks]
+    size = [len(r[2]) for r in own] or [1]
+    return Words(values(spark, own, {"qid": "int", "atom": "int", "tokens": "array<string>", "phrase": "string"}), min(size), max(size))
 
-def query_terms(queries: DataFrame, query: str = "query", words: Column | None = None) -> DataFrame:
-    """(qid, term): the distinct terms of each query's content words; a hyphenated word gives several."""
+
+def words_of(queries: DataFrame, words: Column | None = None, query: str = "query") -> DataFrame:
+    """(qid, atom, tokens, phrase): the words of each query, content words unless given, that have a token; one that repeats is several."""
     words = T.content_words(F.col(query)) if words is None else words
-    return queries.select("qid", F.explode(F.array_distinct(F.flatten(F.transform(words, T.tokens)))).alias("term"))
+    own = queries.select("qid", F.posexplode(F.transform(words, T.tokens)).alias("atom", "tokens")).where("size(tokens) > 0")
+    return own.withColumn("phrase", F.array_join("tokens", _JOIN))
+
 
+def whole(queries: DataFrame, query: str = "query") -> DataFrame:
+    """The whole text of each query as one phrase."""
+    return words_of(queries, F.array(F.col(query)), query)
 
-def bm25(docs: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], scope: list[str] | None = None, idf_fields: list[str] | None = None) -> DataFrame:
-    """(qid, key, score, n_terms): BM25 of each document that has a term of the query.
 
-    With a scope (part of the key) the statistics are those of each scope alone, as for search inside one document. Postings are filtered
-    by the query's terms before they are grouped, and the terms are few; the documents are read once for terms and lengths.
+def occurrences(index: Index, words: DataFrame | Words) -> DataFrame:
+    """(phrase, key, pos, dl): where each distinct phrase of words begins, in each document that has it.
+
+    A phrase of several tokens begins with the places of its rarest token; only there its other tokens are looked up.
     """
-    scope = scope or []
-    terms = query_terms(queries)
-    size = lengths(docs, key, list(fields))
-    if scope:
-        stats = size.groupBy(*scope).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-        size = size.join(stats, scope)
+    if isinstance(words, Words):
+        words, least, most = words.frame, words.least, words.most
     else:
-        n, average = size.agg(F.count("*"), F.avg("dl")).first()
-        size = size.withColumns({"docs": F.lit(int(n)), "avgdl": F.lit(float(average or 0))})
-    found = postings(docs, key, fields).join(terms.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    hits = found.join(terms, "term").join(df, [*scope, "term"]).join(size, key)
+        least, most = words.agg(F.min(F.size("tokens")), F.max(F.size("tokens"))).first()  # of the queries alone
+    wanted = words.select("phrase", "tokens").distinct()
+    one = wanted.where("size(tokens) = 1").select("phrase", F.get("tokens", F.lit(0)).alias("term")).withColumn("bucket", bucket(F.col("term")))
+    many = wanted.where("size(tokens) > 1").select("phrase", F.size("tokens").alias("k"), F.posexplode("tokens").alias("i", "term")).withColumn("bucket", bucket(F.col("term")))
+    single = index.postings.join(one, ["bucket", "term"]).select("phrase", *index.key, "pos", "dl")
+    if (most or 1) == 1:
+        return single
+
+    some = index.postings.join(many.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
+    df = many.join(some.groupBy("term").agg(F.count("*").alias("df")), "term", "left")
+    rare = df.groupBy("phrase", "k").agg(F.min_by(F.struct("i", "term", "bucket"), F.struct(F.coalesce("df", F.lit(0)), "i")).alias("r"), F.count("df").alias("known")).where("known = k")
+    start = some.join(rare.select("phrase", "k", "r.i", "r.term", "r.bucket"), ["bucket", "term"]).select("phrase", "k", *index.key, "dl", F.col("i").alias("at"), F.transform("pos", lambda p: p - F.col("i")).alias("starts"))
+    rest = start.join(many.drop("k"), "phrase").where("i <> at")
+    found = rest.join(some.select("bucket", "term", *index.key, F.col("pos").alias("own")), ["bucket", "term", *index.key])
+    hit = F.array_intersect("starts", F.transform("own", lambda p: p - F.col("i")))
+    found = found.select("phrase", "k", *index.key, "dl", F.explode(hit).alias("start")).groupBy("phrase", "k", *index.key, "dl", "start").agg(F.count("*").alias("n")).where("n = k - 1")
+    several = found.groupBy("phrase", *index.key, "dl").agg(F.sort_array(F.collect_list("start")).alias("pos")).select("phrase", *index.key, "pos", "dl")
+    return several if least > 1 else single.unionAll(several)
+
+
+def _frame(words: DataFrame | Words) -> DataFrame:
+    return words.frame if isinstance(words, Words) else words
+
+
+def scored(index: Index, words: DataFrame | Words, weights: dict[str, float] | None = None, scope: list[str] | None = None) -> DataFrame:
+    """(qid, key, score, n_terms): BM25 of each document that has a word of the query in a weighted field, and how many of the words it has.
+
+    With a scope (part of the key) the statistics are those of each scope alone, as for search inside one document.
+    """
+    scope = scope or []
+    place, weight = index.within(weights)
+    hits = occurrences(index, words).withColumn("pos", place).where("size(pos) > 0").withColumn("f", weight)
+    stats = index.sizes.groupBy(*scope).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    df = hits.groupBy(*scope, "phrase").agg(F.count("*").alias("df"))
+    df = df.join(stats, scope) if scope else df.crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("qid", *key).agg(F.sum(part).alias("score"), F.count("*").alias("n_terms"))
+    part = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = hits.join(df, [*scope, "phrase"]).select("phrase", *index.key, part.alias("part"))
+    return hits.join(_frame(words).select("qid", "atom", "phrase"), "phrase").groupBy("qid", *index.key).agg(F.sum("part").alias("score"), F.count("*").alias("n_terms"))
+
 
+def bm25(docs: DataFrame | Index, queries: DataFrame, key: list[str], fields: dict[str, float], scope: list[str] | None = None) -> DataFrame:
+    """(qid, key, score, n_terms) for the content words of each query, over an index or documents."""
+    index = docs if isinstance(docs, Index) else Index.of(docs, key, list(fields))
+    return scored(index, words_of(queries), fields, scope)
 
-def tiered(scores: DataFrame, queries: DataFrame) -> DataFrame:
-    """Of each query the matches of all its terms, or of any where none has all; tier says which."""
-    size = query_terms(queries).groupBy("qid").agg(F.count("*").alias("n_query"))
-    own = scores.join(size, "qid").withColumn("full", (F.col("n_terms") == F.col("n_query")).cast("int"))
-    best = own.groupBy("qid").agg(F.max("full").alias("some"))
-    return own.join(best, "qid").where("full = some").withColumn("tier", F.when(F.col("some") == 1, "all").otherwise("any")).drop("n_query", "full", "some")
+
+def full(scores: DataFrame, words: DataFrame | Words) -> DataFrame:
+    """scores with full: whether a document has all words of its query."""
+    size = _frame(words).groupBy("qid").agg(F.count("*").alias("n_query"))
+    return scores.join(size, "qid").withColumn("full", F.col("n_terms") == F.col("n_query")).drop("n_query")
+
+
+def tiered(scores: DataFrame, queries: DataFrame | None, words: DataFrame | Words | None = None, least: int = 1, by: list[str] | None = None) -> DataFrame:
+    """Of each query (and each value of by) the matches of all its words, or of any where fewer than `least` have all; tier says which."""
+    own = full(scores, words_of(queries) if words is None else words)
+    group = ["qid", *(by or [])]
+    best = own.groupBy(*group).agg((F.count_if("full") >= least).alias("some"))
+    return own.join(best, group).where("full or not some").withColumn("tier", F.when(F.col("some"), "all").otherwise("any")).drop("full", "some")
+
+
+def paged(index: Index, queries: DataFrame, mode: str = "tiered") -> DataFrame:
+    """(qid, key, score, n_terms, tier): matches of a page search. mode: tiered (all words, else any), exact (the text as a phrase), legacy (all raw words)."""
+    if mode == "tiered":
+        words = words_of(queries)
+        return tiered(scored(index, words), queries, words)
+    words = whole(queries) if mode == "exact" else words_of(queries, T.raw_words(F.col("query")))
+    return full(scored(index, words), words).where("full").drop("full").withColumn("tier", F.lit("exact" if mode == "exact" else "all"))
 
 
 def top(scores: DataFrame, k: int, key: list[str], score: str = "score", by: str = "qid") -> DataFrame:
@@ -69,25 +183,20 @@ def top(scores: DataFrame, k: int, key: list[str], score: str = "score", by: str
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def phrase(docs: DataFrame, queries: DataFrame, key: list[str], body: str, query: str = "query") -> DataFrame:
-    """(qid, key): documents with the query's tokens side by side.
-
-    Candidates come from an equi-join on each query's rarest term; only they are searched for the whole phrase.
-    """
-    padded = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
-    own = docs.select(*key, T.tokens(F.col(body)).alias("tokens"))
-    asked = queries.select("qid", T.tokens(F.col(query)).alias("q")).where("size(q) > 0")
-    words = asked.select("qid", F.explode(F.array_distinct("q")).alias("term"))
-    posted = own.select(*key, F.explode(F.array_distinct("tokens")).alias("term")).join(words.select("term").distinct(), "term", "left_semi")
-    df = words.join(posted.groupBy("term").agg(F.count("*").alias("df")), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rare = df.groupBy("qid").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    candidates = posted.join(rare, "term").select("qid", *key)
-    return candidates.join(own, key).join(asked, "qid").where(F.contains(padded(F.col("tokens")), padded(F.col("q")))).select("qid", *key)
+def phrase(docs: DataFrame | Index, queries: DataFrame | Words, key: list[str], body: str, query: str = "query") -> DataFrame:
+    """(qid, key): documents with the query's tokens side by side; queries may be given as one word each."""
+    words = queries if isinstance(queries, Words) else whole(queries, query)
+    index = docs if isinstance(docs, Index) else Index.of(docs, key, [body])
+    place, _ = index.within({body: 1.0})
+    return occurrences(index, words).withColumn("pos", place).where("size(pos) > 0").join(_frame(words).select("qid", "phrase"), "phrase").select("qid", *key)
 
 
-def grouped_pages(hits: DataFrame, rel: str = "rel", page: str = "page_index") -> DataFrame:
-    """(qid, rel, pages): the pages of each document with a hit, in order."""
-    return hits.groupBy("qid", rel).agg(F.sort_array(F.collect_list(page)).alias("pages"))
+def grouped_pages(hits: DataFrame, rel: str = "rel", page: str = "page_index", most: int = 50) -> DataFrame:
+    """(qid, rel, pages, total): of each query's first hits, in the order of rel and page, the pages of each document; total counts all its hits."""
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(rel, page))
+    total = hits.groupBy("qid").agg(F.count("*").alias("total"))
+    shown = hits.select("qid", rel, page, place.alias("place")).where(F.col("place") <= most)  # at most `most` a query
+    return shown.groupBy("qid", rel).agg(F.sort_array(F.collect_list(page)).alias("pages")).join(total, "qid")
 
 
 def fused(ranks: DataFrame, key: str, k: int = 60) -> DataFrame:
@@ -95,7 +204,7 @@ def fused(ranks: DataFrame, key: str, k: int = 60) -> DataFrame:
     return ranks.groupBy("qid", key).agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"), F.min("rank").alias("best_rank"), F.count("*").alias("n_lists"), F.min(F.struct("list_no", "rank")).alias("first_seen"))
 
 
-def by_family(scores: DataFrame, families: DataFrame, key: str = "rel", score: str = "score") -> DataFrame:
+def by_family(scores: DataFrame, families: DataFrame, key: str = "rel", score: str = "score", tie: list[str] | None = None) -> DataFrame:
     """(qid, family, key, score): each family by its best document, the first seen of equals; unknown documents go."""
-    order = Window.partitionBy("qid", "family").orderBy(F.desc(score), key)
+    order = Window.partitionBy("qid", "family").orderBy(F.desc(score), *(tie or [key]))
     return scores.join(families, key).withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")

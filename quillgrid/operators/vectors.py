@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ledger
 from .search import top
 
 
@@ -32,10 +33,10 @@ def unit(v: Column) -> Column:
 
 
 def hashed(docs: DataFrame, key: list[str], text: Column, size: int = 64) -> DataFrame:
-    """(key, vector): the default embedding without a model, term counts by hashed position and sign, at length one."""
-    h = F.xxhash64("term")
-    sign = F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    terms = docs.select(*key, F.explode(T.tokens(text)).alias("term")).select(*key, F.pmod(h, F.lit(size)).cast("int").alias("at"), sign.alias("w")).groupBy(*key, "at").agg(F.sum("w").alias("w"))
+    """(key, vector): the default embedding without a model, term counts by position and sign from the term's MD5, at length one."""
+    h = F.md5(F.col("term").cast("binary"))
+    sign = F.when(F.substring(h, 9, 1) < "8", 1.0).otherwise(-1.0)
+    terms = docs.select(*key, F.explode(T.tokens(text)).alias("term")).select(*key, F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int").alias("at"), sign.alias("w")).groupBy(*key, "at").agg(F.sum("w").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
     own = terms.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"), norm.alias("norm"))
     value = lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
@@ -56,15 +57,42 @@ def embedded(docs: DataFrame, key: list[str], text: Column, embedder: Embedder |
     return docs.select(*key, unit(run(text)).alias("vector"))
 
 
+def written(docs: DataFrame, key: list[str], text: Column, path: str, embedder: Embedder | None = None, parts: int = 16, after: Callable[[int], None] | None = None) -> DataFrame:
+    """The vectors of docs at path, made in parts by hash of the key; what an earlier run wrote is kept, and rows that are gone or whose text changed go.
+
+    Each part is a directory of its own, written whole: a run that is cut off goes on with the next one. Keys have to be unique; nothing to embed is an
+    error. after(part) is called when a part is there.
+    """
+    spark = docs.sparkSession
+    own = docs.select(*key, text.alias("text"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("of"), F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int").alias("part"))
+    counts = {r.part: (r.n, r.h) for r in own.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*key, "of").cast("decimal(38,0)")).cast("string").alias("h")).collect()}
+    if not counts:
+        raise ValueError("nothing to embed")
+    for part, (n, h) in sorted(counts.items()):
+        home = f"{path}/of={parts}/part={part}"
+        if ledger.exists(spark, f"{home}/_of.json") and ledger.load(spark, f"{home}/_of.json") == {"n": n, "h": h}:
+            continue
+        here = own.where(F.col("part") == part)
+        vectors = embedded(here, key, F.col("text"), embedder)
+        vectors.write.mode("overwrite").parquet(home)
+        if (found := spark.read.parquet(home).count()) != n:
+            raise RuntimeError(f"{home} has {found} vectors, not {n}")
+        ledger.save(spark, f"{home}/_of.json", {"n": n, "h": h})
+        if after:
+            after(part)
+    return spark.read.option("basePath", f"{path}/of={parts}").parquet(*(f"{path}/of={parts}/part={p}" for p in sorted(counts))).drop("part")
+
+
 def card_text(title: Column, family: Column, catalog: Column) -> Column:
     return F.concat_ws(" | ", title, family, F.substring(catalog, 1, 1200))
 
 
-def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, key: str | list[str] = "vec_id", vector: str = "embedding") -> DataFrame:
     """(qid, key, score, rank): cosine of unit vectors for a few given queries; the queries are literals of the plan."""
+    key = [key] if isinstance(key, str) else key
     asked = F.array(*(F.struct(F.lit(i).cast("long").alias("qid"), F.array(*map(F.lit, v)).cast("array<double>").alias("q")) for i, v in queries))
-    scored = vectors.select(key, F.col(vector).alias("v"), F.explode(asked).alias("a")).select("a.qid", key, dot(F.col("v"), F.col("a.q")).alias("score"))
-    return top(scored, k, [key])
+    scored = vectors.select(*key, F.col(vector).alias("v"), F.explode(asked).alias("a")).select("a.qid", *key, dot(F.col("v"), F.col("a.q")).alias("score"))
+    return top(scored, k, key)
 
 
 def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries that search and rank. All queries of the benchmark table are answered in one plan."""
+"""Queries that search and rank. All queries of the benchmark table are answered in one plan, each with its whole passage."""
 
 from __future__ import annotations
 
@@ -6,18 +6,64 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import search, shelf, vectors
-from ..sources import derived
-from . import sql
+from ..operators import retrieval, search, shelf, vectors
+from ..operators.search import Index
+from ..sources import derived, store
+from . import editions, sql
 from .registry import query
 
+_CARD_FIELDS = {"title": 3.0, "family": 2.0, "catalog": 1.0, "head": 1.0}
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = derived.corpus(spark, sf_dir)
+    return own.select("rel", F.col("title_line").alias("title"), T.family(F.col("title_line"), T.fiscal_years(F.col("title_line"))).alias("family"), "fy", F.col("caption_line").alias("catalog"), F.col("text").alias("head"))
+
+
+def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shelf.harvested(derived.pages(spark, sf_dir))
+
+
+_INDEXED = {
+    "documents": (derived.documents, ["doc_id"], ["text"]),
+    "cards": (_cards, ["rel"], list(_CARD_FIELDS)),
+    "captions": (_captions, ["rel", "page_index", "ord"], ["caption"]),
+    "pages": (derived.pages, ["rel", "page_index"], ["body"]),
+}
+
 
-def asked(spark: SparkSession, sf_dir: str, words: int = 6) -> DataFrame:
-    """(qid, query): the first words of each benchmark passage."""
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.raw_words(F.col("text")), 1, words), " ").alias("query"))
+def index(spark: SparkSession, sf_dir: str, name: str) -> Index:
+    """The stored postings of one of the tables; made at the first use."""
+    docs, key, fields = _INDEXED[name]
 
+    def build() -> dict:
+        own = Index.of(docs(spark, sf_dir), key, fields)
+        return {"postings": (own.postings, ["bucket"]), "sizes": (own.sizes, None)}
 
-ASKED = "asked AS (SELECT item_id AS qid, array_to_string(regexp_extract_all(text, '[A-Za-z0-9_\\-]+')[1:6], ' ') AS query FROM benchmark)"
+    own = store.stored(spark, f"index-{name}", [f"{sf_dir}/documents.parquet"], build)
+    return Index(own["postings"], own["sizes"], key, fields)
+
+
+def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Stored pages, captions with vectors, cards with vectors, and the shelf."""
+
+    def build() -> dict:
+        pages, cards = derived.pages(spark, sf_dir), _cards(spark, sf_dir)
+        captions = shelf.harvested(pages)
+        key = ["rel", "page_index", "ord"]
+        caption_vectors = vectors.embedded(captions, key, F.col("caption")).join(captions, key)
+        card_vectors = vectors.embedded(cards, ["rel"], vectors.card_text(F.col("title"), F.col("family"), F.col("catalog")))
+        return {"pages": (pages, None), "captions": (captions, None), "caption_vectors": (caption_vectors, None), "card_vectors": (card_vectors, None), "shelf": (editions.kept(spark, sf_dir), None)}
+
+    return store.stored(spark, "tables", [f"{sf_dir}/documents.parquet"], build)
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, query): each benchmark passage as a query."""
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+ASKED = "asked AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 _DOCS = sql.bm25("documents", "doc_id", {"text": 1.0}, "asked")
 _ROUND = "round(score, 6) AS score"
 
@@ -25,28 +71,47 @@ _ROUND = "round(score, 6) AS score"
 @query(f"WITH {ASKED}, {_DOCS} SELECT qid, doc_id, {_ROUND}, CAST(rank AS INTEGER) AS rank FROM ({sql.top('hits', 15, 'doc_id')}) t")
 def search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 best documents with any word of each query."""
-    hits = search.bm25(derived.documents(spark, sf_dir), asked(spark, sf_dir), ["doc_id"], {"text": 1.0})
+    hits = search.scored(index(spark, sf_dir, "documents"), search.words_of(asked(spark, sf_dir)))
     return search.top(hits, 15, ["doc_id"]).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 _TIER = f"""tiers AS (SELECT h.*, n_terms = n_query AS full_match FROM hits h JOIN (SELECT qid, count(*) AS n_query FROM terms GROUP BY qid) q USING (qid)),
-chosen AS (SELECT t.*, CASE WHEN has_all THEN 'all' ELSE 'any' END AS tier FROM tiers t JOIN (SELECT qid, bool_or(full_match) AS has_all FROM tiers GROUP BY qid) b USING (qid) WHERE full_match = has_all)"""
+chosen AS (SELECT t.*, CASE WHEN has_all THEN 'all' ELSE 'any' END AS tier FROM tiers t JOIN (SELECT qid, bool_or(full_match) AS has_all FROM tiers GROUP BY qid) b USING (qid) WHERE full_match OR NOT has_all)"""
+_TOTAL = "n AS (SELECT qid, count(*) AS total FROM chosen GROUP BY qid)"
+
 
+def _shown(hits: DataFrame) -> DataFrame:
+    """The 15 best of each query, with the number of all its matches."""
+    total = hits.groupBy("qid").agg(F.count("*").alias("total"))
+    return search.top(hits, 15, ["doc_id"]).join(total, "qid").select("qid", "doc_id", F.round("score", 6).alias("score"), "rank", "tier", "total")
 
-@query(f"WITH {ASKED}, {_DOCS}, {_TIER}, n AS (SELECT qid, count(*) AS total FROM chosen GROUP BY qid) SELECT qid, doc_id, {_ROUND}, CAST(rank AS INTEGER) AS rank, tier, total FROM ({sql.top('chosen', 15, 'doc_id')}) t JOIN n USING (qid)")
+
+@query(f"WITH {ASKED}, {_DOCS}, {_TIER}, {_TOTAL} SELECT qid, doc_id, {_ROUND}, CAST(rank AS INTEGER) AS rank, tier, total FROM ({sql.top('chosen', 15, 'doc_id')}) t JOIN n USING (qid)")
 def search_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 best of the strictest tier that has matches, with the number of matches."""
-    queries = asked(spark, sf_dir)
-    own = search.tiered(search.bm25(derived.documents(spark, sf_dir), queries, ["doc_id"], {"text": 1.0}), queries)
-    total = own.groupBy("qid").agg(F.count("*").alias("total"))
-    return search.top(own, 15, ["doc_id"]).join(total, "qid").select("qid", "doc_id", F.round("score", 6).alias("score"), "rank", "tier", "total")
+    return _shown(search.paged(index(spark, sf_dir, "documents"), asked(spark, sf_dir)))
 
 
 @query(f"WITH {ASKED}, {_DOCS}, {_TIER} SELECT qid, doc_id FROM tiers WHERE full_match")
 def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = asked(spark, sf_dir)
-    own = search.tiered(search.bm25(derived.documents(spark, sf_dir), queries, ["doc_id"], {"text": 1.0}), queries)
-    return own.where("tier = 'all'").select("qid", "doc_id")
+    return search.paged(index(spark, sf_dir, "documents"), asked(spark, sf_dir)).where("tier = 'all'").select("qid", "doc_id")
+
+
+_EXACT = sql.bm25("documents", "doc_id", {"text": 1.0}, "asked", expr="[query]")
+_RAW = sql.bm25("documents", "doc_id", {"text": 1.0}, "asked", expr="regexp_extract_all(query, '[A-Za-z0-9_\\-]+')")
+_FULL = "chosen AS (SELECT h.* FROM hits h JOIN (SELECT qid, count(*) AS n_query FROM terms GROUP BY qid) q USING (qid) WHERE n_terms = n_query)"
+
+
+@query(f"WITH {ASKED}, {_EXACT}, {_FULL}, {_TOTAL} SELECT qid, doc_id, {_ROUND}, CAST(rank AS INTEGER) AS rank, 'exact' AS tier, total FROM ({sql.top('chosen', 15, 'doc_id')}) t JOIN n USING (qid)")
+def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 best with the whole query as a phrase."""
+    return _shown(search.paged(index(spark, sf_dir, "documents"), asked(spark, sf_dir), "exact"))
+
+
+@query(f"WITH {ASKED}, {_RAW}, {_FULL}, {_TOTAL} SELECT qid, doc_id, {_ROUND}, CAST(rank AS INTEGER) AS rank, 'all' AS tier, total FROM ({sql.top('chosen', 15, 'doc_id')}) t JOIN n USING (qid)")
+def search_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 15 best with every word of the query, stop words and repeated ones too."""
+    return _shown(search.paged(index(spark, sf_dir, "documents"), asked(spark, sf_dir), "legacy"))
 
 
 _PAD = lambda x: f"concat(' ', array_to_string({sql.tokens(x)}, ' '), ' ')"
@@ -54,115 +119,157 @@ _PAD = lambda x: f"concat(' ', array_to_string({sql.tokens(x)}, ' '), ' ')"  # n
 
 @query(f"WITH {ASKED}, d AS (SELECT doc_id, {_PAD('text')} AS t FROM documents), q AS (SELECT qid, {_PAD('query')} AS p FROM asked WHERE len({sql.tokens('query')}) > 0) SELECT qid, doc_id FROM q JOIN d ON contains(t, p)")
 def search_exact_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.phrase(derived.documents(spark, sf_dir), asked(spark, sf_dir), ["doc_id"], "text")
+    return search.phrase(index(spark, sf_dir, "documents"), asked(spark, sf_dir), ["doc_id"], "text")
 
 
-_LABELS = "asked AS (SELECT * FROM (VALUES (0, 'revenue expenditure src1'), (1, 'fiscal risks statement'), (2, 'yearbook src7 es'), (3, 'annual budget draft')) v(qid, query))"
+_PHRASES = [(0, "Revenue and expenditure"), (1, "expenditure of src1 by en"), (2, "Table 3.1"), (3, "2012-13"), (4, "no such phrase anywhere")]
+_VALUES = lambda rows: "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in rows) + ") v(qid, query))"
 
 
-def _labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, "revenue expenditure src1"), (1, "fiscal risks statement"), (2, "yearbook src7 es"), (3, "annual budget draft")], "qid int, query string")
+@query(f"""WITH {sql.CORPUS}, {_VALUES(_PHRASES)}, h AS (SELECT qid, rel, page_index FROM asked JOIN page_rows ON contains({_PAD('body')}, {_PAD('query')})), n AS (SELECT qid, count(*) AS total FROM h GROUP BY qid),
+s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel, page_index) AS k FROM h) SELECT qid, rel, array_to_string(list(page_index ORDER BY page_index), ',') AS pages, total FROM s JOIN n USING (qid) WHERE k <= 50 GROUP BY ALL""")
+def exact_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a phrase: how many, and the first 50 by document."""
+    hits = search.phrase(index(spark, sf_dir, "pages"), retrieval.table(spark, _PHRASES), ["rel", "page_index"], "body")
+    return search.grouped_pages(hits).withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
 
 
-_CARD_FIELDS = {"title": 3.0, "family": 2.0, "catalog": 1.0, "head": 1.0}
+_QUESTIONS = [(0, "revenue expenditure src1"), (1, "fiscal risks statement"), (2, "yearbook src7 es"), (3, "annual budget draft"), (4, "budget 2012-13")]
+_LABELS = _VALUES(_QUESTIONS)
 _CARDS = f"cards AS (SELECT rel, title_line AS title, {sql.family('title_line', 'fy')} AS family, fy, caption_line AS catalog, text AS head FROM corpus)"
 
 
-def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = derived.corpus(spark, sf_dir)
-    return own.select("rel", F.col("title_line").alias("title"), T.family(F.col("title_line"), T.fiscal_years(F.col("title_line"))).alias("family"), "fy", F.col("caption_line").alias("catalog"), F.col("text").alias("head"))
-
-
 @query(f"WITH {sql.CORPUS}, {_CARDS}, {_LABELS}, {sql.bm25('cards', 'rel', _CARD_FIELDS, 'asked')} SELECT qid, rel, {_ROUND}, CAST(rank AS INTEGER) AS rank FROM ({sql.top('hits', 200, 'rel')}) t")
 def cards_bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.bm25(_cards(spark, sf_dir), _labels(spark), ["rel"], _CARD_FIELDS)
+    hits = search.scored(index(spark, sf_dir, "cards"), retrieval.content(spark, retrieval.facts(spark, _QUESTIONS)), _CARD_FIELDS)
     return search.top(hits, 200, ["rel"]).select("qid", "rel", F.round("score", 6).alias("score"), "rank")
 
 
-_CAPS = f"caps AS (SELECT rel, caption_line AS caption FROM corpus), {sql.bm25('caps', 'rel', {'caption': 1.0}, 'asked')}"
+_CAPS = f"{editions._CAPTIONS}, captions AS (SELECT rel, caption, CAST(place // 1000 AS INTEGER) AS page_index, CAST(row_number() OVER (PARTITION BY rel ORDER BY place) AS INTEGER) AS ord FROM (SELECT rel, caption, min(page_index * 1000 + i) AS place FROM caps GROUP BY ALL) y QUALIFY ord <= 400)"
+_CAP_KEY = "rel, page_index, ord"
+_CAP_HITS = sql.bm25("captions", _CAP_KEY, {"caption": 1.0}, "asked", prefix="c_", expr=sql.label_words("query")) + """,
+c_all AS (SELECT h.*, n_terms = n_query AS full_match FROM c_hits h JOIN (SELECT qid, count(*) AS n_query FROM c_terms GROUP BY qid) q USING (qid)),
+c_chosen AS (SELECT t.*, CASE WHEN enough THEN 'all' ELSE 'any' END AS tier FROM c_all t JOIN (SELECT qid, count(*) FILTER (full_match) >= 20 AS enough FROM c_all GROUP BY qid) b USING (qid) WHERE full_match OR NOT enough)"""
+_CAP_TOP = sql.top("c_chosen", 200, _CAP_KEY)
 
 
-@query(f"WITH {sql.CORPUS}, {_LABELS}, {_CAPS}, {_TIER.replace('bool_or(full_match)', 'count(*) FILTER (full_match) >= 20').replace('WHERE full_match = has_all', 'WHERE full_match OR NOT has_all')} SELECT qid, rel, {_ROUND}, CAST(rank AS INTEGER) AS rank, tier FROM ({sql.top('chosen', 200, 'rel')}) t")
+@query(f"WITH {sql.CORPUS}, {_CAPS}, {_LABELS}, {_CAP_HITS} SELECT qid, rel, page_index, ord, {_ROUND}, CAST(rank AS INTEGER) AS rank, tier FROM ({_CAP_TOP}) t")
 def caption_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captions with all words where there are 20 such, else with any."""
-    queries = _labels(spark)
-    hits = search.bm25(derived.corpus(spark, sf_dir).select("rel", F.col("caption_line").alias("caption")), queries, ["rel"], {"caption": 1.0})
-    size = search.query_terms(queries).groupBy("qid").agg(F.count("*").alias("n_query"))
-    own = hits.join(size, "qid").withColumn("full", F.col("n_terms") == F.col("n_query"))
-    enough = own.groupBy("qid").agg((F.count_if("full") >= 20).alias("some"))
-    own = own.join(enough, "qid").where("full or not some").withColumn("tier", F.when(F.col("some"), "all").otherwise("any"))
-    return search.top(own, 200, ["rel"]).select("qid", "rel", F.round("score", 6).alias("score"), "rank", "tier")
+    """Captions by label words: with all of them where there are 20 such, else with any."""
+    ranked, _ = retrieval.caption_search(index(spark, sf_dir, "captions"), _QUESTIONS, _cards(spark, sf_dir))
+    return ranked.select("qid", "rel", "page_index", "ord", F.round("score", 6).alias("score"), "rank", "tier")
 
 
-_ONE = "asked AS (SELECT 0 AS qid, 'revenue expenditure heit onan que' AS query)"
-_INSIDE = sql.bm25("page_rows", "rel, page_index", {"body": 1.0}, "asked", "rel")
+@query(f"WITH {sql.CORPUS}, {_CARDS}, {_CAPS}, {_LABELS}, {_CAP_HITS}, f AS (SELECT qid, family, min(rank) AS first FROM ({_CAP_TOP}) t JOIN cards USING (rel) GROUP BY ALL) SELECT qid, family, CAST(row_number() OVER (PARTITION BY qid ORDER BY first, family) AS INTEGER) AS place FROM f")
+def caption_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publications in the order in which their captions are found."""
+    return retrieval.caption_search(index(spark, sf_dir, "captions"), _QUESTIONS, _cards(spark, sf_dir))[1]
 
 
-@query(f"WITH {sql.CORPUS}, {_ONE}, {_INSIDE} SELECT rel, page_index, round(score, 3) AS score, CAST(rank AS INTEGER) AS rank FROM ({sql.top('hits', 8, 'page_index', 'rel')}) t")
-def inside_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document the 8 best pages, by statistics of the document alone."""
-    queries = spark.createDataFrame([(0, "revenue expenditure heit onan que")], "qid int, query string")
-    hits = search.bm25(derived.pages(spark, sf_dir), queries, ["rel", "page_index"], {"body": 1.0}, ["rel"])
-    return search.top(hits, 8, ["page_index"], by="rel").select("rel", "page_index", F.round("score", 3).alias("score"), "rank")
+def _dense(kind: str, docs: str, key: str, text: str, asked: str) -> str:
+    """CTE <kind>_score(qid, key, score) by cosine of the default embedding."""
+    dot = ", ".join(f"d.{k.strip()}" for k in key.split(","))
+    on = " AND ".join(f"d.{k.strip()} = n.{k.strip()}" for k in key.split(","))
+    full = ", ".join(f"a.{k.strip()}" for k in key.split(","))
+    zero = " AND ".join(f"a.{k.strip()} = s.{k.strip()}" for k in key.split(","))
+    return f"""{sql.vectors(docs, key, text, kind + "_d")}, {sql.vectors("asked", "qid", asked, kind + "_q")},
+{kind}_dot AS (SELECT q.qid, {dot}, sum(q.w * d.w) / any_value(qn.norm * n.norm) AS score FROM {kind}_q q JOIN {kind}_d d USING (axis) JOIN {kind}_q_norm qn ON qn.qid = q.qid JOIN {kind}_d_norm n ON {on} GROUP BY ALL),
+{kind}_score AS (SELECT x.qid, {full}, round(coalesce(s.score, 0), 9) AS score FROM (SELECT DISTINCT qid FROM {kind}_q) x CROSS JOIN (SELECT {key} FROM {docs}) a LEFT JOIN {kind}_dot s ON s.qid = x.qid AND {zero})"""
+
+
+_LABEL_TEXT = f"array_to_string({sql.label_words('query')}, ' ')"
+_CAP_DENSE = _dense("cv", "captions", _CAP_KEY, "caption", _LABEL_TEXT)
+_CARD_TEXT = "concat_ws(' | ', title, family, left(catalog, 1200))"
+
+
+def _caption_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, rel, page_index, ord, score, rank): the 200 nearest captions of each question's label words."""
+    queries = retrieval.query_vectors(spark, [(f.qid, " ".join(f.labels)) for f in retrieval.facts(spark, _QUESTIONS)])
+    return vectors.nearest(tables(spark, sf_dir)["caption_vectors"], queries, 200, ["rel", "page_index", "ord"], "vector")
+
+
+@query(f"WITH {sql.CORPUS}, {_CAPS}, {_LABELS}, {_CAP_DENSE} SELECT CAST(qid AS BIGINT) AS qid, rel, page_index, ord, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({sql.top('cv_score', 200, _CAP_KEY)}) t")
+def caption_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions nearest to a question's label words, by the stored vectors."""
+    return _caption_knn(spark, sf_dir).select("qid", "rel", "page_index", "ord", F.round("score", 6).alias("score"), "rank")
+
 
+_TERMS = [(0, "revenue expenditure heit onan que"), (1, "Revenue and expenditure"), (2, "heit onan"), (3, "expenditure 2012-13 trajectory of src3"), (4, "the of")]
+_PAGE_HITS = sql.bm25("page_rows", "rel, page_index", {"body": 1.0}, "asked", "rel")
+_STRICT = sql.bm25("page_rows", "rel, page_index", {"body": 1.0}, "asked", "rel", prefix="s_", expr=f"CASE WHEN len({sql.content_words('query')}) BETWEEN 1 AND 4 THEN [query] ELSE {sql.content_words('query')} END")
+_BODY = f"""{_PAGE_HITS}, {_STRICT}, strict AS (SELECT qid, rel, page_index, score, CASE WHEN len({sql.content_words('query')}) <= 4 THEN 'phrase' ELSE 'all' END AS tier FROM s_hits JOIN (SELECT qid, count(*) AS n FROM s_terms GROUP BY qid) z USING (qid) JOIN asked USING (qid) WHERE n_terms = n),
+every AS (SELECT * FROM strict UNION ALL SELECT qid, rel, page_index, score, 'any' FROM hits h WHERE NOT EXISTS (SELECT 1 FROM strict s WHERE s.qid = h.qid AND s.rel = h.rel)),
+body AS (SELECT *, row_number() OVER (PARTITION BY qid, rel ORDER BY round(score, 9) DESC, page_index) AS b FROM every QUALIFY b <= @most@)"""
+_LINE = f"""line_of AS (SELECT qid, rel, page_index, arg_min(l, (-n) * 100000 + i) AS line FROM (SELECT qid, rel, page_index, i, l, len(list_filter({sql.content_words('query')}, lambda w: contains(lower(l), w))) AS n FROM asked JOIN need USING (qid) JOIN
+ (SELECT rel, page_index, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT rel, page_index, string_split(body, chr(10)) AS ls FROM page_rows) a) b USING (rel, page_index)) c GROUP BY ALL)"""
+_BEST = "left(trim(regexp_replace(line, '\\s+', ' ', 'g')), 200)"
 
-_BODY = f"body AS (SELECT rel, page_index, score, row_number() OVER (PARTITION BY rel ORDER BY round(score, 9) DESC, page_index) AS b FROM hits)"
-_CAP = "cap AS (SELECT rel, page_index FROM (SELECT rel, page_index, unnest(string_split(lower(body), chr(10))) AS l FROM page_rows) z WHERE starts_with(l, 'table ') AND contains(l, 'revenue') GROUP BY ALL)"
 
+def _inside(spark: SparkSession, sf_dir: str, channel: str | None, queries: list[tuple[int, str]] = _TERMS) -> DataFrame:
+    own = tables(spark, sf_dir)
+    return retrieval.inside(index(spark, sf_dir, "pages"), own["pages"], own["captions"], queries, 8, channel, own["caption_vectors"])
 
-def _caption_pages(pages: DataFrame) -> DataFrame:
-    caption = F.exists(T.captions(F.col("body")), lambda c: F.contains(F.lower(c), F.lit("revenue")))
-    return pages.where(caption).select("rel", "page_index", F.lit(True).alias("c"))
 
+@query(f"WITH {sql.CORPUS}, {_VALUES(_TERMS)}, {_BODY.replace('@most@', '8')}, need AS (SELECT * FROM body), {_LINE} SELECT qid, rel, page_index, CAST(b AS INTEGER) AS rank, round(score, 3) AS score, tier, {_BEST} AS line FROM body JOIN line_of USING (qid, rel, page_index)")
+def inside_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the 8 best pages by statistics of the document alone: as a phrase or all words, else any."""
+    return _inside(spark, sf_dir, None).drop("via")
+
+
+def _channel(cap: str, order: str) -> str:
+    """Pages of body (50 best) and of cap(qid, rel, page_index, c_rank), the first 8 in the given order."""
+    return f"""WITH {sql.CORPUS}, {_VALUES(_TERMS)}, {_CAPS}, {_BODY.replace('@most@', '50')}, {cap}, j AS (SELECT coalesce(body.qid, cap.qid) AS qid, coalesce(body.rel, cap.rel) AS rel, coalesce(body.page_index, cap.page_index) AS page_index, score, b, cap.rel IS NOT NULL AS c, c_rank
+FROM body FULL JOIN cap ON body.qid = cap.qid AND body.rel = cap.rel AND body.page_index = cap.page_index), t AS (SELECT DISTINCT qid, rel, tier FROM body),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid, rel ORDER BY {order}) AS rank FROM j) SELECT r.qid, r.rel, page_index, CAST(rank AS INTEGER) AS rank, round(score, 3) AS score, coalesce(tier, 'any') AS tier, CASE WHEN c THEN 'caption' ELSE 'body' END AS via FROM r LEFT JOIN t ON t.qid = r.qid AND t.rel = r.rel WHERE rank <= 8"""
 
-def _body_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    queries = spark.createDataFrame([(0, "revenue expenditure heit onan que")], "qid int, query string")
-    hits = search.bm25(pages, queries, ["rel", "page_index"], {"body": 1.0}, ["rel"])
-    return hits.withColumn("b", F.row_number().over(Window.partitionBy("rel").orderBy(F.desc(F.round("score", 9)), "page_index"))).select("rel", "page_index", "b")
 
+_FIRST = "CASE WHEN c AND b IS NOT NULL THEN 0 WHEN c THEN 1 ELSE 2 END, b, page_index"
+_HAS = lambda words: f"(SELECT DISTINCT qid, rel, page_index FROM asked JOIN captions ON len({words}) > 0 AND len(list_filter({words}, lambda cw: NOT contains(lower(caption), cw))) = 0)"
+_RANKED = lambda pages: f"cap AS (SELECT *, row_number() OVER (PARTITION BY qid, rel ORDER BY page_index) AS c_rank FROM {pages} cap_p)"
+_YEARED = lambda pages: f"(SELECT qid, rel, page_index FROM (SELECT p.*, coalesce(contains(body, y), y IS NULL) AS has FROM {pages} p JOIN (SELECT qid, nullif(regexp_extract(query, '{sql.FY}', 1), '') AS y FROM asked) a USING (qid) LEFT JOIN page_rows USING (rel, page_index)) h QUALIFY has OR NOT bool_or(has) OVER (PARTITION BY qid, rel))"
 
-@query(f"""WITH {sql.CORPUS}, {_ONE}, {_INSIDE}, {_BODY}, {_CAP}, j AS (SELECT coalesce(body.rel, cap.rel) AS rel, coalesce(body.page_index, cap.page_index) AS page_index, b, cap.rel IS NOT NULL AS c FROM body FULL JOIN cap ON body.rel = cap.rel AND body.page_index = cap.page_index),
-r AS (SELECT *, CASE WHEN c AND b IS NOT NULL THEN 0 WHEN c THEN 1 ELSE 2 END AS tier FROM j) SELECT rel, page_index, CAST(rank AS INTEGER) AS rank, CASE tier WHEN 0 THEN 'both' WHEN 1 THEN 'caption' ELSE 'body' END AS via FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY tier, b, page_index) AS rank FROM r) t WHERE rank <= 8""")
+
+@query(_channel(_RANKED(_HAS(sql.content_words("query"))), _FIRST))
 def inside_caption_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with caption and body hits first, then caption pages, then the rest."""
-    pages = derived.pages(spark, sf_dir)
-    own = _body_pages(spark, pages).join(_caption_pages(pages), ["rel", "page_index"], "full_outer")
-    tier = F.when(F.col("c").isNotNull() & F.col("b").isNotNull(), 0).when(F.col("c").isNotNull(), 1).otherwise(2)
-    own = own.withColumn("tier", tier).withColumn("rank", F.row_number().over(Window.partitionBy("rel").orderBy("tier", "b", "page_index")))
-    return own.where("rank <= 8").select("rel", "page_index", "rank", F.get(F.array(F.lit("both"), F.lit("caption"), F.lit("body")), F.col("tier")).alias("via"))
+    return _inside(spark, sf_dir, "first").drop("line")
+
+
+@query(_channel(_RANKED(_YEARED(_HAS(sql.label_words("query")))), _FIRST))
+def inside_caption_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As before by label words; a fiscal year in the query selects among the caption pages by their body."""
+    return _inside(spark, sf_dir, "first_label").drop("line")
 
 
-@query(f"""WITH {sql.CORPUS}, {_ONE}, {_INSIDE}, {_BODY}, {_CAP}, lists AS (SELECT rel, page_index, b AS k FROM body UNION ALL SELECT rel, page_index, row_number() OVER (PARTITION BY rel ORDER BY page_index) FROM cap),
-f AS (SELECT rel, page_index, sum(1.0 / (60 + k)) AS rrf FROM lists GROUP BY ALL) SELECT rel, page_index, round(rrf, 6) AS rrf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY round(rrf, 9) DESC, page_index) AS rank FROM f) t WHERE rank <= 8""")
+_KEPT_CAPS = "(SELECT DISTINCT qid, rel, page_index FROM (SELECT *, quantile_cont(score, 0.5) OVER (PARTITION BY qid, rel) AS median, row_number() OVER (PARTITION BY qid, rel ORDER BY score DESC, ord) AS place FROM cv_score) m WHERE score >= median OR place <= 3)"
+
+
+@query(_channel(_CAP_DENSE + ", " + _RANKED(_YEARED(_KEPT_CAPS)), _FIRST))
+def inside_dense_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default: caption pages by vectors, at or above the median of the document, and by the year."""
+    return _inside(spark, sf_dir, "dense_first").drop("line")
+
+
+@query(_channel(_RANKED(_HAS(sql.content_words("query"))), "round(coalesce(1 / (60 + b), 0) + coalesce(1 / (60 + c_rank), 0), 9) DESC, page_index"))
 def inside_caption_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = derived.pages(spark, sf_dir)
-    captions = _caption_pages(pages).withColumn("rank", F.row_number().over(Window.partitionBy("rel").orderBy("page_index")))
-    lists = _body_pages(spark, pages).select(F.col("rel").alias("qid"), F.lit(0).alias("list_no"), "page_index", F.col("b").alias("rank")).unionAll(captions.select("rel", F.lit(1), "page_index", "rank"))
-    own = search.fused(lists, "page_index").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("rrf", 9)), "page_index")))
-    return own.where("rank <= 8").select(F.col("qid").alias("rel"), "page_index", F.round("rrf", 6).alias("rrf"), "rank")
+    """Caption pages and body pages fused by reciprocal ranks."""
+    return _inside(spark, sf_dir, "rrf").drop("line")
 
 
 _VECS = "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings"
 
 
-@query(f"WITH v AS ({_VECS}), s AS (SELECT q.vec_id AS qid, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v, v q WHERE q.vec_id < 3) SELECT CAST(qid AS BIGINT) AS qid, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({sql.top('s', 10, 'vec_id')}) t")
+@query(f"WITH v AS ({_VECS}), s AS (SELECT q.vec_id AS qid, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v, v q) SELECT CAST(qid AS BIGINT) AS qid, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({sql.top('s', 10, 'vec_id')}) t")
 def vec_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors of the first three."""
-    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    queries = [(r[0], [float(x) for x in r[1]]) for r in own.where("vec_id < 3").orderBy("vec_id").select("vec_id", "embedding").collect()]
-    return vectors.nearest(own, queries, 10).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
-
-
-@query()
-def vec_knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors of every vector."""
+    """The nearest vectors of every vector."""
     own = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return vectors.nearest_each(own, own.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 10).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH v AS (SELECT vec_id, label, list_sum(list_transform(embedding, lambda x, i: CASE WHEN i <= 8 THEN CAST(x AS DOUBLE) ELSE 0 END)) AS score FROM embeddings), m AS (SELECT *, quantile_cont(score, 0.5) OVER (PARTITION BY label) AS median, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS place FROM v) SELECT label, vec_id, round(score, 6) AS score FROM m WHERE score >= median OR place <= 3")
+@query("WITH v AS (SELECT vec_id, label, list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * (i % 3 - 1))) AS score FROM embeddings), m AS (SELECT *, quantile_cont(score, 0.5) OVER (PARTITION BY label) AS median, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS place FROM v) SELECT label, vec_id, round(score, 6) AS score FROM m WHERE score >= median OR place <= 3")
 def vec_median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    """Of each label the vectors at or above its median score, and three at least; the score takes all components."""
+    score = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * ((i + 1) % 3 - 1)), F.lit(0.0), lambda s, x: s + x)
     own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", score.alias("score"))
     return vectors.above_median(own, ["label"], "vec_id").select("label", "vec_id", F.round("score", 6).alias("score"))
 
@@ -172,17 +279,18 @@ def vector_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", vectors.fingerprint(F.col("embedding")).alias("fingerprint"))
 
 
-_LISTS = f"""lex AS (SELECT qid, doc_id AS id, rank FROM ({sql.top('hits', 50, 'doc_id')}) a WHERE qid < 3), v AS ({_VECS}), s AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_inner_product(q.e, v.e) AS score FROM v, v q WHERE q.vec_id < 3),
+_LISTS = f"""lex AS (SELECT qid, doc_id AS id, rank FROM ({sql.top('hits', 50, 'doc_id')}) a), v AS ({_VECS}), s AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_inner_product(q.e, v.e) AS score FROM v, v q WHERE q.vec_id IN (SELECT qid FROM asked)),
 vec AS (SELECT qid, id, rank FROM ({sql.top('s', 50, 'id')}) b), lists AS (SELECT qid, 0 AS list_no, id, rank FROM lex UNION ALL SELECT qid, 1, id, rank FROM vec),
 f AS (SELECT qid, id, sum(1.0 / (60 + rank)) AS rrf, min(rank) AS best_rank, count(*) AS n_lists, min(list_no * 1000 + rank) AS seen FROM lists GROUP BY ALL)"""
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.bm25(derived.documents(spark, sf_dir), asked(spark, sf_dir).where("qid < 3"), ["doc_id"], {"text": 1.0})
-    lex = search.top(hits, 50, ["doc_id"]).select("qid", F.lit(0).alias("list_no"), F.col("doc_id").alias("id"), "rank")
+    """Word and vector lists of all benchmark queries; the vector of a query is that of its number."""
+    queries = asked(spark, sf_dir)
+    lex = search.top(search.scored(index(spark, sf_dir, "documents"), search.words_of(queries)), 50, ["doc_id"]).select("qid", F.lit(0).alias("list_no"), F.col("doc_id").alias("id"), "rank")
     own = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    queries = [(r[0], [float(x) for x in r[1]]) for r in own.where("vec_id < 3").orderBy("vec_id").select("vec_id", "embedding").collect()]
-    vec = vectors.nearest(own, queries, 50).select("qid", F.lit(1).alias("list_no"), F.col("vec_id").alias("id"), "rank")
+    near = queries.select("qid").join(own.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid")
+    vec = vectors.nearest_each(own, near, 50).select("qid", F.lit(1).alias("list_no"), F.col("vec_id").alias("id"), "rank")
     return search.fused(lex.unionAll(vec), "id")
 
 
@@ -198,64 +306,112 @@ def best_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).select("qid", "id", "best_rank", "n_lists", F.row_number().over(order).alias("rank"))
 
 
-def _fused_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of all benchmark queries; the vector of a query is that of its number."""
-    queries = asked(spark, sf_dir)
-    lex = search.top(search.bm25(derived.documents(spark, sf_dir), queries, ["doc_id"], {"text": 1.0}), 50, ["doc_id"]).select("qid", F.lit(0).alias("list_no"), F.col("doc_id").alias("id"), "rank")
-    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    near = queries.select("qid").join(own.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), "qid")
-    vec = vectors.nearest_each(own, near, 50).select("qid", F.lit(1).alias("list_no"), F.col("vec_id").alias("id"), "rank")
-    return search.fused(lex.unionAll(vec), "id")
+#: Questions of find, each of one or two queries.
+_ASKS = {0: 0, 1: 1, 2: 2, 3: 2, 4: 4}
 
 
-@query()
-def rrf_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.desc(F.round("rrf", 9)), "first_seen")
-    return _fused_all(spark, sf_dir).select("qid", "id", F.round("rrf", 6).alias("rrf"), F.row_number().over(order).alias("rank"))
+def _find_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, list_no, rel, rank): cards by words and by vectors, captions by words and by vectors."""
+    lex = search.top(search.scored(index(spark, sf_dir, "cards"), retrieval.content(spark, retrieval.facts(spark, _QUESTIONS)), _CARD_FIELDS), 200, ["rel"])
+    vec = vectors.nearest(tables(spark, sf_dir)["card_vectors"], retrieval.query_vectors(spark, _QUESTIONS), 200, ["rel"], "vector")
+    cap, _ = retrieval.caption_search(index(spark, sf_dir, "captions"), _QUESTIONS, _cards(spark, sf_dir))
+    lists = [lex, vec, retrieval.rels_first_seen(cap), retrieval.rels_first_seen(_caption_knn(spark, sf_dir))]
+    out = [d.select(F.col("qid").cast("int").alias("qid"), F.lit(k).alias("list_no"), "rel", "rank") for k, d in enumerate(lists)]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
 
 
-@query()
-def best_fusion_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy("best_rank", F.desc("n_lists"), F.desc(F.round("rrf", 9)), "first_seen")
-    return _fused_all(spark, sf_dir).select("qid", "id", "best_rank", "n_lists", F.row_number().over(order).alias("rank"))
+def _find(spark: SparkSession, sf_dir: str, fusion: str) -> DataFrame:
+    shelf_ = tables(spark, sf_dir)["shelf"]
+    catalogs = _cards(spark, sf_dir).select("rel", "catalog")
+    return retrieval.find(_find_lists(spark, sf_dir), shelf_, catalogs, _QUESTIONS, _ASKS, fusion)
+
+
+_FIND = f"""{editions.KEPT}, {_CARDS}, {_CAPS}, {_LABELS}, asks AS (SELECT * FROM (VALUES {", ".join(f"({q}, {a})" for q, a in _ASKS.items())}) v(qid, ask)), {sql.bm25('cards', 'rel', _CARD_FIELDS, 'asked')}, {_CAP_HITS},
+{_dense("kv", "cards", "rel", _CARD_TEXT, "query")}, {_CAP_DENSE}, lists AS (SELECT qid, 0 AS list_no, rel, rank FROM ({sql.top('hits', 200, 'rel')}) a UNION ALL SELECT qid, 1, rel, rank FROM ({sql.top('kv_score', 200, 'rel')}) b
+UNION ALL SELECT qid, 2, rel, row_number() OVER (PARTITION BY qid ORDER BY first) FROM (SELECT qid, rel, min(rank) AS first FROM ({_CAP_TOP}) c GROUP BY ALL) d UNION ALL SELECT qid, 3, rel, row_number() OVER (PARTITION BY qid ORDER BY first) FROM (SELECT qid, rel, min(rank) AS first FROM ({sql.top('cv_score', 200, _CAP_KEY)}) e GROUP BY ALL) f),
+f AS (SELECT @by@ AS g, rel, sum(1.0 / (60 + rank)) AS rrf, min((qid * 100 + list_no) * 1000 + rank) AS seen FROM lists JOIN asks USING (qid) GROUP BY ALL),
+fam AS (SELECT g, family, rel AS best_rel, rrf, seen, row_number() OVER (PARTITION BY g, family ORDER BY round(rrf, 9) DESC, seen, rel) AS k FROM f JOIN kept USING (rel)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(rrf, 9) DESC, seen, best_rel) AS place FROM fam WHERE k = 1),
+ed AS (SELECT family, count(*) FILTER (is_primary AND fy IS NOT NULL) AS dated, count(*) FILTER (is_primary) AS single, count(*) FILTER (NOT is_primary) AS n_copies_hidden, coalesce(string_agg(fy, ',' ORDER BY fy, rel) FILTER (is_primary AND fy IS NOT NULL), '') AS years FROM kept GROUP BY family),
+prim AS (SELECT family, fy, max(rel) AS primary_rel FROM kept WHERE is_primary GROUP BY ALL),
+words AS (SELECT ask, list(DISTINCT w) AS ws FROM (SELECT ask, unnest({sql.content_words('query')}) AS w FROM asked JOIN asks USING (qid)) w GROUP BY ask)"""
+_FOUND = f"""SELECT ask, p.family, CAST(rank AS INTEGER) AS rank, round(p.score, 6) AS score, best_rel, CASE WHEN b.is_primary THEN best_rel ELSE coalesce(primary_rel, best_rel) END AS primary_rel, CASE WHEN dated > 0 THEN 'fy' ELSE 'singleton' END AS kind, CAST(CASE WHEN dated > 0 THEN dated ELSE single END AS INTEGER) AS n_editions, n_copies_hidden, years,
+CASE WHEN len(list_intersect({sql.content_words('catalog')}, ws)) > 0 THEN {sql.strip('catalog')} ELSE b.title END AS why
+FROM ranked p JOIN kept b ON b.rel = best_rel LEFT JOIN prim q ON q.family = b.family AND q.fy IS NOT DISTINCT FROM b.fy JOIN ed ON ed.family = p.family JOIN cards c ON c.rel = best_rel JOIN words USING (ask)"""
 
 
-_FIND = f"""{_CARDS}, {_LABELS}, {sql.bm25('cards', 'rel', _CARD_FIELDS, 'asked')}, caps AS (SELECT rel, caption_line AS caption FROM corpus), {sql.bm25('caps', 'rel', {'caption': 1.0}, 'asked', prefix='c_')},
-lists AS (SELECT qid, 0 AS list_no, rel, rank FROM ({sql.top('hits', 200, 'rel')}) a UNION ALL SELECT qid, 1, rel, rank FROM ({sql.top('c_hits', 200, 'rel')}) b),
-f AS (SELECT qid, rel, sum(1.0 / (60 + rank)) AS rrf FROM lists GROUP BY ALL),
-fam AS (SELECT qid, family, rel AS best_rel, rrf, row_number() OVER (PARTITION BY qid, family ORDER BY round(rrf, 9) DESC, rel) AS k FROM f JOIN cards USING (rel)),
-ed AS (SELECT family, count(DISTINCT fy) AS n_editions, count(*) AS n_members FROM cards GROUP BY family)"""
+def _flat(found: DataFrame) -> DataFrame:
+    years = F.when(F.col("kind") == "fy", F.array_join(F.transform("editions", lambda e: e["fy"]), ",")).otherwise("")
+    return found.select("ask", "family", "rank", F.round("score", 6).alias("score"), "best_rel", "primary_rel", "kind", "n_editions", "n_copies_hidden", years.alias("years"), F.array_join("why", "|").alias("why"))
 
 
-@query(f"WITH {sql.CORPUS}, {_FIND} SELECT qid, family, best_rel, round(rrf, 6) AS rrf, n_editions, n_members, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 9) DESC, family) AS INTEGER) AS rank FROM fam JOIN ed USING (family) WHERE k = 1")
+@query(f"WITH {sql.CORPUS}, {_FIND.replace('@by@', 'ask')}, ranked AS (SELECT g AS ask, family, best_rel, rrf AS score, place AS rank FROM placed) {_FOUND}")
 def find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All publications for each query: card and caption ranks fused, each publication by its best document."""
-    queries, cards = _labels(spark), _cards(spark, sf_dir)
-    lex = search.top(search.bm25(cards, queries, ["rel"], _CARD_FIELDS), 200, ["rel"]).select("qid", F.lit(0).alias("list_no"), "rel", "rank")
-    cap = search.top(search.bm25(cards, queries, ["rel"], {"catalog": 1.0}), 200, ["rel"]).select("qid", F.lit(1).alias("list_no"), "rel", "rank")
-    scores = search.fused(lex.unionAll(cap), "rel").withColumn("order", F.round("rrf", 9))
-    best = search.by_family(scores, cards.select("rel", "family"), score="order")
-    editions = cards.groupBy("family").agg(F.count_distinct("fy").alias("n_editions"), F.count("*").alias("n_members"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("order"), "family"))
-    return best.join(editions, "family").select("qid", "family", F.col("rel").alias("best_rel"), F.round("rrf", 6).alias("rrf"), "n_editions", "n_members", place.alias("rank"))
-
-
-@query(f"""WITH {sql.CORPUS}, {_CARDS}, {_LABELS}, {sql.bm25('cards', 'rel', {'title': 3.0, 'family': 2.0}, 'asked')}, {_TIER},
+    """All publications for each question: word, vector and caption ranks fused, with editions, hidden copies and reasons."""
+    return _flat(_find(spark, sf_dir, "rrf"))
+
+
+@query(f"""WITH {sql.CORPUS}, {_FIND.replace('@by@', 'qid')}, z AS (SELECT ask, family, arg_min(best_rel, place * 100 + qid) AS best_rel, min(place) AS best, count(*) AS n, sum(rrf) AS score FROM placed JOIN asks ON asks.qid = g GROUP BY ALL),
+ranked AS (SELECT ask, family, best_rel, score, row_number() OVER (PARTITION BY ask ORDER BY best, n DESC, round(score, 9) DESC, family) AS rank FROM z) {_FOUND}""")
+def find_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As find, a publication by its best place among a question's queries."""
+    return _flat(_find(spark, sf_dir, "best"))
+
+
+_SOUGHT = [*_QUESTIONS, (5, "statistical yearbook"), (6, "zzz nothing"), (7, "doc final")]
+_YEARS = {0: "2012-13", 1: "2030-31", 2: "2012-13", 3: "2009-10", 5: "2012-13", 6: "2012-13"}
+_HAVE = f"""{editions.KEPT}, {_VALUES(_SOUGHT)}, cards AS (SELECT rel, title_line AS title, {sql.family('title_line', 'fy')} AS family, fy, caption_line AS catalog, text AS head FROM corpus), {sql.bm25('cards', 'rel', {'title': 3.0, 'family': 2.0}, 'asked', also=('catalog', 'head'))}, {_TIER},
 ph AS (SELECT qid, rel, 0.0 AS score, 'phrase' AS tier FROM asked JOIN cards ON contains({_PAD('title')}, {_PAD('query')})),
-al AS (SELECT qid, rel, score, tier FROM chosen WHERE qid NOT IN (SELECT qid FROM ph) UNION ALL SELECT * FROM ph), h AS (SELECT qid, family, tier, max(round(score, 9)) AS score, min(rel) AS first_rel, list_sort(list(DISTINCT fy) FILTER (fy IS NOT NULL)) AS fys FROM al JOIN cards USING (rel) GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, family) AS place FROM h) SELECT qid, family, tier, coalesce(array_to_string(fys, ','), '') AS fy_list, CASE WHEN coalesce(list_contains(fys, '2012-13'), false) THEN 'EDITION_PRESENT' ELSE 'NO_EDITION_FOR' END AS verdict FROM k WHERE place <= 8""")
+al AS (SELECT qid, rel, score, tier FROM chosen WHERE qid NOT IN (SELECT qid FROM ph) UNION ALL SELECT * FROM ph), tp AS ({sql.top('al', 200, 'rel')}),
+held AS (SELECT family, coalesce(list_sort(list(DISTINCT fy) FILTER (is_primary AND fy IS NOT NULL)), []) AS fys FROM kept GROUP BY family),
+fs AS (SELECT qid, family, any_value(tier) AS tier, min(rank) AS first FROM tp JOIN kept USING (rel) GROUP BY ALL), h AS (SELECT qid, family, tier, row_number() OVER (PARTITION BY qid ORDER BY first, family) AS place FROM fs QUALIFY place <= 8)"""
+
+
+@query(f"WITH {sql.CORPUS}, {_HAVE} SELECT qid, CAST(place AS INTEGER) AS place, family, tier, array_to_string(fys, ',') AS fy_list FROM h JOIN held USING (family)")
 def have_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether there is a publication for words and a year: title phrase, else all words, else any; eight publications at most."""
-    queries, cards = _labels(spark), _cards(spark, sf_dir)
-    phrase = search.phrase(cards, queries, ["rel"], "title").select("qid", "rel", F.lit(0.0).alias("score"), F.lit("phrase").alias("tier"))
-    rest = search.tiered(search.bm25(cards, queries, ["rel"], {"title": 3.0, "family": 2.0}), queries).join(phrase.select("qid").distinct(), "qid", "left_anti").select("qid", "rel", "score", "tier")
-    hits = phrase.unionAll(rest).join(cards, "rel").groupBy("qid", "family", "tier").agg(F.max(F.round("score", 9)).alias("score"), F.sort_array(F.collect_set("fy")).alias("fys"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "family"))
-    return hits.withColumn("place", place).where("place <= 8").select("qid", "family", "tier", F.array_join("fys", ",").alias("fy_list"), F.when(F.array_contains("fys", "2012-13"), "EDITION_PRESENT").otherwise("NO_EDITION_FOR").alias("verdict"))
+    """Publications for words: title phrase, else all words, else any; eight at most, in the order in which they are first seen."""
+    return _have(spark, sf_dir)[0].withColumn("fy_list", F.array_join("fy_list", ","))
+
+
+def _have(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return retrieval.have(index(spark, sf_dir, "cards"), tables(spark, sf_dir)["shelf"], derived.files(spark, sf_dir), _SOUGHT, _YEARS)
+
+
+@query(f"""WITH {sql.CORPUS}, {_HAVE}, want AS (SELECT * FROM (VALUES {", ".join(f"({i}, {repr(_YEARS[i]) if i in _YEARS else 'NULL'})" for i, _ in _SOUGHT)}) v(qid, fy)),
+bad AS (SELECT qid, count(*) AS unreadable FROM asked JOIN files ON (status = 'image_only_no_text' OR starts_with(status, 'failed_')) AND len({sql.content_words('query')}) > 0 AND len(list_filter({sql.content_words('query')}, lambda w: NOT contains(lower(string_split(rel, '/')[-1]), w))) = 0 GROUP BY qid),
+p AS (SELECT family, fy, arg_min(struct_pack(rel := rel, n_pages := n_pages), rel) AS p FROM kept WHERE is_primary AND fy IS NOT NULL GROUP BY ALL),
+s AS (SELECT w.qid, w.fy, one.family, fys, p.p AS p, CASE WHEN one.family IS NULL THEN 'NO_FAMILY_MATCHES' WHEN w.fy IS NULL THEN 'FAMILIES' WHEN list_contains(fys, w.fy) THEN 'EDITION_PRESENT' ELSE 'NO_EDITION_FOR' END AS status FROM want w LEFT JOIN (SELECT * FROM h WHERE place = 1) one USING (qid) LEFT JOIN held ON held.family = one.family LEFT JOIN p ON p.family = one.family AND p.fy = w.fy)
+SELECT qid, status, coalesce(unreadable, 0) AS unreadable, family, fy, p.rel AS rel, p.n_pages AS n_pages, CASE WHEN status = 'NO_EDITION_FOR' THEN list_max(list_filter(fys, lambda y: y < fy)) END AS nearest_before, CASE WHEN status = 'NO_EDITION_FOR' THEN list_min(list_filter(fys, lambda y: y > fy)) END AS nearest_after FROM s LEFT JOIN bad USING (qid)""")
+def have_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first publication has the year, the nearest years if not, and how many unread files have the name."""
+    return _have(spark, sf_dir)[1]
+
+
+_ROW = [(0, "heit onan que the revenue")]
+_SERIES = f"""{editions.KEPT}, {_VALUES(_ROW)}, {_BODY.replace('@most@', '1')}, need AS (SELECT * FROM body), {_LINE}, m AS (SELECT family, fy, rel FROM kept WHERE is_primary AND fy IS NOT NULL AND fy BETWEEN '2010-11' AND '2014-15'),
+out AS (SELECT family, fy, m.rel, page_index, {_BEST} AS line, CASE WHEN page_index IS NULL THEN 'NO_MATCH' ELSE 'ok' END AS status FROM m LEFT JOIN (SELECT rel, page_index, line FROM body JOIN line_of USING (qid, rel, page_index)) b ON b.rel = m.rel)"""
+
+
+def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = tables(spark, sf_dir)
+    shelf_ = own["shelf"]
+    return retrieval.series(index(spark, sf_dir, "pages"), own["pages"], shelf_, _ROW[0][1], shelf_.select("family"), "2010-11", "2014-15")
+
+
+@query(f"WITH {sql.CORPUS}, {_SERIES} SELECT * FROM out")
+def series_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every family the primary editions of a span of years, each with its best page and line for a row label."""
+    return _series(spark, sf_dir)[0]
+
+
+@query(f"WITH {sql.CORPUS}, {_SERIES} SELECT family, count(*) AS editions, count(page_index) AS matched FROM out GROUP BY family")
+def series_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _series(spark, sf_dir)[1]
 
 
-@query()
+@query(f"WITH {sql.CORPUS}, {_CARDS}, {sql.vectors('cards', 'rel', _CARD_TEXT, 'kv')}, g AS (SELECT rel, a, coalesce(w / norm, 0) AS x FROM (SELECT rel, unnest(range(0, 64)) AS a FROM cards) c LEFT JOIN kv USING (rel) LEFT JOIN kv_norm USING (rel) WHERE axis = a OR axis IS NULL) SELECT rel, round(sum(x * (a + 1)), 6) AS weighted, count(*) FILTER (x <> 0) AS filled FROM g GROUP BY rel")
 def card_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards with the default embedding."""
-    cards = _cards(spark, sf_dir)
-    return vectors.embedded(cards, ["rel"], vectors.card_text(F.col("title"), F.col("family"), F.col("catalog"))).select("rel", vectors.fingerprint(F.col("vector")).alias("fingerprint"))
+    """Cards with the default embedding: how many components it fills, and their sum by position."""
+    own = tables(spark, sf_dir)["card_vectors"]
+    weighted = F.aggregate(F.transform("vector", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return own.select("rel", F.round(weighted, 6).alias("weighted"), F.size(F.filter("vector", lambda x: x != 0)).cast("long").alias("filled"))

@@ -43,16 +43,25 @@ def family(title: str, fy: str, years: bool = False) -> str:
     return f"replace(replace(trim(regexp_replace(regexp_replace({z}, '[^a-z0-9{{}}]+', ' ', 'g'), '\\s+', ' ', 'g')), '{{{{', '{{'), '}}}}', '}}')"
 
 
-def bm25(docs: str, key: str, fields: dict[str, float], queries: str, scope: str | None = None, prefix: str = "") -> str:
-    """CTEs for hits(qid, key, score, n_terms); docs and queries (qid, query) are given as CTEs or tables."""
+def words(queries: str, expr: str = "", name: str = "terms") -> str:
+    """CTE name(qid, toks, term): the words of each query that have a token, each as its tokens side by side; content words unless expr lists others."""
+    own = expr or content_words("query")
+    return f"{name} AS (SELECT qid, toks, array_to_string(toks, ' ') AS term FROM (SELECT qid, unnest(list_transform({own}, lambda w: {tokens('w')})) AS toks FROM {queries}) {name}_w WHERE len(toks) > 0)"
+
+
+def bm25(docs: str, key: str, fields: dict[str, float], queries: str, scope: str | None = None, prefix: str = "", expr: str = "", also: tuple[str, ...] = ()) -> str:
+    """CTEs for hits(qid, key, score, n_terms); docs and queries (qid, query) are given as CTEs or tables. Sizes count the fields in `also` too."""
     s, on = (f"{scope}, ", f"AND x.{scope} = y.{scope}") if scope else ("", "")
-    parts = " UNION ALL ".join(f"SELECT {key}, unnest({tokens(c)}) AS term, {w} AS w FROM {docs}" for c, w in fields.items())
-    size = " + ".join(f"len({tokens(c)})" for c in fields)
+    parts = " UNION ALL ".join(f"SELECT {key}, {tokens(c)} AS t, {w} AS w FROM {docs}" for c, w in fields.items())
+    size = " + ".join(f"len({tokens(c)})" for c in (*fields, *also))
     stats = f"SELECT {s}count(*) AS docs, avg(dl) AS avgdl FROM {prefix}size" + (f" GROUP BY {scope}" if scope else "")
-    return f"""{prefix}terms AS (SELECT DISTINCT qid, unnest(flatten(list_transform({content_words("query")}, lambda w: {tokens("w")}))) AS term FROM {queries}),
+    return f"""{words(queries, expr, prefix + "terms")},
 {prefix}size AS (SELECT {key}, {size} AS dl FROM {docs}),
 {prefix}stats AS ({stats}),
-{prefix}post AS (SELECT {key}, term, sum(w) AS f FROM ({parts}) p WHERE term IN (SELECT term FROM {prefix}terms) GROUP BY ALL),
+{prefix}parts AS ({parts}),
+{prefix}post AS (SELECT {key}, term, sum(w) AS f FROM (SELECT {key}, unnest(t) AS term, w FROM {prefix}parts) p WHERE term IN (SELECT term FROM {prefix}terms WHERE len(toks) = 1) GROUP BY ALL
+  UNION ALL SELECT {key}, term, sum(w * n) FROM (SELECT {key}, term, w, len(list_filter(range(1, len(t) - len(toks) + 2), lambda i: t[i:i + len(toks) - 1] = toks)) AS n
+    FROM {prefix}parts JOIN (SELECT DISTINCT term, toks FROM {prefix}terms WHERE len(toks) > 1) m ON contains(concat(' ', array_to_string(t, ' '), ' '), concat(' ', term, ' '))) q WHERE n > 0 GROUP BY ALL),
 {prefix}df AS (SELECT {s}term, count(*) AS df FROM {prefix}post GROUP BY ALL),
 {prefix}hits AS (SELECT qid, {", ".join("x." + k.strip() for k in key.split(","))}, count(*) AS n_terms,
   sum(CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
@@ -60,6 +69,16 @@ def bm25(docs: str, key: str, fields: dict[str, float], queries: str, scope: str
   JOIN {prefix}stats w ON {f"x.{scope} = w.{scope}" if scope else "true"} GROUP BY ALL)"""
 
 
+def label_words(x: str) -> str:
+    return f"list_filter({content_words(f"regexp_replace({x}, '{FY}', ' ', 'g')")}, lambda lw: NOT list_contains({FILLER}, lw))"
+
+
+def vectors(docs: str, key: str, text: str, name: str) -> str:
+    """CTEs name(key, axis, w) and name_norm(key, norm): the default embedding as sparse rows."""
+    return f"""{name} AS (SELECT {key}, CAST(CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS INTEGER) AS axis, sum(CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1 ELSE -1 END) AS w FROM (SELECT {key}, unnest({tokens(text)}) AS term FROM {docs}) {name}_t GROUP BY ALL),
+{name}_norm AS (SELECT {key}, sqrt(sum(w * w)) AS norm FROM {name} GROUP BY ALL)"""
+
+
 def top(hits: str, k: int, key: str, by: str = "qid") -> str:
     return f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY round(score, 9) DESC, {key}) AS rank FROM {hits} QUALIFY rank <= {k}"
 

@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.operators import coverage, evidence, ledger, search, shelf, vectors
+from quillgrid.operators import coverage, evidence, ledger, retrieval, search, shelf, vectors
 from quillgrid.sources import grids
 from quillgrid.streaming import refresh
 
@@ -190,3 +190,190 @@ def test_catalog(spark, tmp_path):
     catalog.log_notes(notes, str(tmp_path / "n"))
     own = catalog.session(spark.read.parquet(str(tmp_path / "o")), spark.read.parquet(str(tmp_path / "n")), "s").collect()
     assert [(r.kind, r.what) for r in own] == [("opened", "a.txt p1"), ("opened", "a.txt p1"), ("note", "n")]
+
+
+PHRASED = ["seats for 2012-13 in all", "13 seats in 2012", "2012 and 13", "budget 2012-13 and 2012-13 again", "snake_case words-of-three parts", "words of three", "three of words", "seats"]
+
+
+@pytest.mark.parametrize("text", ["2012-13", "2012-13 seats", "snake_case budget", "words-of-three seats zebra-x", "seats budget parts"])
+def test_hyphenated_words_are_phrases(spark, text):
+    """Scores, matches of all words and of any, against a full-text engine; scattered tokens are no match."""
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table p using fts5(body)")
+    db.executemany("insert into p(rowid, body) values (?, ?)", list(enumerate(PHRASED)))
+    run = lambda op, words: {r[0]: round(-r[1], 6) for r in db.execute("select rowid, bm25(p) from p where p match ?", (op.join(f'"{w}"' for w in words),))}
+    docs = spark.createDataFrame(list(enumerate(PHRASED)), "id int, body string")
+    queries = spark.createDataFrame([(0, text)], "qid int, query string")
+    index = search.Index.of(docs, ["id"], ["body"])
+    assert {r.id: round(r.score, 6) for r in search.bm25(index, queries, ["id"], {"body": 1.0}).collect()} == run(" OR ", text.split())
+    every = run(" AND ", text.split())
+    own = search.paged(index, queries).collect()
+    assert {r.id: round(r.score, 6) for r in own} == (every or run(" OR ", text.split())) and {r.tier for r in own} <= {"all" if every else "any"}
+    exact = {r.id: round(r.score, 6) for r in search.paged(index, queries, "exact").collect()}
+    assert exact == run(" OR ", [text])
+    assert {r.id for r in search.phrase(index, queries, ["id"], "body").collect()} == set(exact)
+
+
+def test_field_weights_and_filters_are_fts5(spark):
+    rows = [("tax budget", "the budget year", "other"), ("year", "tax-year tables", "budget tax"), ("statement", "", "tax tax tax"), ("tax year", "x", "y")]
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table p using fts5(title, family, head)")
+    db.executemany("insert into p(rowid, title, family, head) values (?, ?, ?, ?)", [(i, *r) for i, r in enumerate(rows)])
+    index = search.Index.of(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, title string, family string, head string"), ["id"], ["title", "family", "head"])
+    for text in ("tax budget", "tax-year"):
+        queries = spark.createDataFrame([(0, text)], "qid int, query string")
+        words = " OR ".join(f'"{w}"' for w in text.split())
+        for weights, match in (({"title": 3.0, "family": 2.0, "head": 1.0}, words), ({"title": 3.0, "family": 2.0}, "{title family} : (" + words + ")")):
+            want = {r[0]: round(-r[1], 6) for r in db.execute("select rowid, bm25(p, 3.0, 2.0, 1.0) from p where p match ?", (match,))}
+            assert {r.id: round(r.score, 6) for r in search.bm25(index, queries, ["id"], weights).collect()} == want, (text, weights)
+
+
+def test_legacy_search_wants_stop_words_too(spark):
+    docs = spark.createDataFrame([(0, "the budget of tax"), (1, "budget tax"), (2, "the the tax budget")], "id int, body string")
+    got = search.paged(search.Index.of(docs, ["id"], ["body"]), spark.createDataFrame([(0, "the tax budget")], "qid int, query string"), "legacy")
+    assert {(r.id, r.tier) for r in got.collect()} == {(0, "all"), (2, "all")}
+
+
+def test_pages_of_hits_are_grouped(spark):
+    hits = spark.createDataFrame([(0, r, p) for r in "ab" for p in range(1, 41)], "qid int, rel string, page_index int")
+    got = {r.rel: (r.pages, r.total) for r in search.grouped_pages(hits).collect()}
+    assert got == {"a": (list(range(1, 41)), 80), "b": (list(range(1, 11)), 80)}
+
+
+def test_stored_tables_are_made_once_and_whole(spark, tmp_path):
+    from quillgrid.sources import store
+
+    spark.createDataFrame([(1, "a b"), (2, "b c")], "id int, body string").write.parquet(f"{tmp_path}/in")
+    made = []
+
+    def build():
+        made.append(1)
+        index = search.Index.of(spark.read.parquet(f"{tmp_path}/in"), ["id"], ["body"])
+        return {"postings": (index.postings, ["bucket"]), "sizes": (index.sizes, None)}
+
+    for _ in range(2):
+        got = store.stored(spark, "t", [f"{tmp_path}/in"], build)
+        assert sorted((r.id, r.term, r.pos) for r in got["postings"].collect()) == [(1, "a", [0]), (1, "b", [1]), (2, "b", [0]), (2, "c", [1])]
+    assert len(made) == 1
+    spark.createDataFrame([(3, "d")], "id int, body string").write.mode("append").parquet(f"{tmp_path}/in")
+    assert store.stored(spark, "t", [f"{tmp_path}/in"], build)["sizes"].count() == 3 and len(made) == 2
+    with pytest.raises(store.CountMismatch):
+        store.checked_write(spark.range(3).toDF("n"), f"{tmp_path}/out", expected=4)
+
+
+PAGES = [
+    ("d", 1, "Tax tables 2012-13\nTable 1: Revenue by province\nnothing"), ("d", 2, "revenue of the province\nprovince and revenue"), ("d", 3, "revenue"), ("d", 4, "Table 2: Expenditure of districts\n2013-14"),
+    ("e", 1, "other words"), ("f", 1, "revenue province revenue province"), ("f", 2, "province revenue"),
+]
+
+
+def _pages(spark):
+    pages = spark.createDataFrame(PAGES, "rel string, page_index int, body string")
+    return search.Index.of(pages, ["rel", "page_index"], ["body"]), pages, shelf.harvested(pages)
+
+
+def _fts(rel, match):
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table p using fts5(page_index unindexed, body)")
+    db.executemany("insert into p values (?, ?)", [(p, b) for r, p, b in PAGES if r == rel])
+    return [(p, round(-s, 3)) for p, s in db.execute("select page_index, bm25(p) from p where p match ? order by round(bm25(p), 9), page_index", (match,))]
+
+
+def test_inside_tries_a_phrase_then_any_word(spark):
+    index, pages, captions = _pages(spark)
+    got = retrieval.inside(index, pages, captions, [(0, "province revenue"), (1, "revenue province districts nothing tables"), (2, "the of")], channel=None).orderBy("qid", "rel", "rank").collect()
+    own = {}
+    for r in got:
+        own.setdefault((r.qid, r.rel, r.tier), []).append((r.page_index, r.score))
+    either = '"province" OR "revenue"'
+    many = " OR ".join(f'"{w}"' for w in "revenue province districts nothing tables".split())
+    assert own == {(0, "d", "any"): _fts("d", either), (0, "f", "phrase"): _fts("f", '"province revenue"'), (1, "d", "any"): _fts("d", many), (1, "f", "any"): _fts("f", many)}
+    assert {r.line for r in got if r.qid == 0 and r.page_index == 2 and r.rel == "d"} == {"revenue of the province"}
+
+
+def test_inside_by_captions(spark):
+    index, pages, captions = _pages(spark)
+    places = lambda channel, text, vectors_=None: {rel: [(r.page_index, r.via) for r in retrieval.inside(index, pages, captions, [(0, text)], 8, channel, vectors_).where(F.col("rel") == rel).orderBy("rank").collect()] for rel in "de"}
+    assert places("first", "revenue province")["d"] == [(1, "caption"), (2, "body"), (3, "body")]
+    assert places("first", "expenditure")["d"] == [(4, "caption")] and places("first", "nothing there")["e"] == []
+    # the year is in no caption: label words find the page, and its body has the year
+    assert places("first", "revenue province 2012-13")["d"][0][1] == "body" and places("first_label", "revenue province 2012-13 trajectory")["d"][0] == (1, "caption")
+    assert (4, "caption") not in places("first_label", "districts 2012-13")["d"][1:] and places("first_label", "districts 2012-13")["d"][0] == (4, "caption")  # unless all would go
+    assert places("rrf", "revenue province")["d"][0] == (1, "caption")
+    key = ["rel", "page_index", "ord"]
+    known = vectors.embedded(captions, key, F.col("caption")).join(captions, key)
+    assert places("dense_first", "expenditure of districts 2013-14", known)["d"][0] == (4, "caption")
+    with pytest.raises(ValueError):
+        retrieval.inside(index, pages, captions, [(0, "x")], 8, "none")
+
+
+def test_dense_captions_keep_the_half_and_three(spark):
+    rows = [("a", 1, k, f"c{k}", [1.0 - k / 10, 0.0]) for k in range(9)] + [("b", 1, k, f"c{k}", [0.1 * k, 0.0]) for k in range(2)]
+    own = vectors.above_median(spark.createDataFrame(rows, "rel string, page_index int, ord int, caption string, v array<double>").withColumn("score", F.get("v", F.lit(0))), ["rel"], "ord")
+    assert sorted((r.rel, r.ord) for r in own.collect()) == [("a", k) for k in range(5)] + [("b", 0), ("b", 1)]
+
+
+SHELF = [("a/1", "a {fy}", "2012-13", "A one", 5, True), ("a/2", "a {fy}", "2013-14", "A two", 6, True), ("a/3", "a {fy}", "2013-14", "A two", 4, False), ("b/1", "b", None, "B", 1, True), ("c/1", "c {fy}", "2012-13", "C", 2, True)]
+
+
+def _shelf(spark):
+    return spark.createDataFrame(SHELF, "rel string, family string, fy string, title string, n_pages int, is_primary boolean")
+
+
+def test_find_fuses_questions_both_ways(spark):
+    lists = spark.createDataFrame([(0, 0, "a/3", 1), (0, 0, "c/1", 2), (0, 1, "c/1", 1), (1, 0, "c/1", 1), (1, 0, "b/1", 2), (2, 0, "b/1", 1), (2, 0, "zz", 2)], "qid int, list_no int, rel string, rank int")
+    catalogs = spark.createDataFrame([("a/3", "Table 1: tax of all\nother\nTable 2: tax"), ("c/1", "none")], "rel string, catalog string")
+    queries, asks = [(0, "tax of all"), (1, "c tax"), (2, "b")], {0: 0, 1: 0, 2: 2}
+    got = {(r.ask, r["rank"]): r for r in retrieval.find(lists, _shelf(spark), catalogs, queries, asks).collect()}
+    assert [got[0, k].family for k in (1, 2, 3)] == ["c {fy}", "a {fy}", "b"] and got[2, 1].family == "b" and (2, 2) not in got
+    a = got[0, 2]
+    assert (a.best_rel, a.primary_rel, a.kind, a.n_editions, a.n_copies_hidden, a.why) == ("a/3", "a/2", "fy", 2, 1, ["Table 1: tax of all", "Table 2: tax"])
+    assert [(e.fy, e.rel) for e in a.editions] == [("2012-13", "a/1"), ("2013-14", "a/2")] and got[0, 1].why == ["C"] and got[0, 3].kind == "singleton"
+    best = {(r.ask, r["rank"]): r.family for r in retrieval.find(lists, _shelf(spark), catalogs, queries, asks, "best").collect()}
+    assert best == {(0, 1): "c {fy}", (0, 2): "a {fy}", (0, 3): "b", (2, 1): "b"}
+    lines = {r["rank"]: r.line for r in retrieval.compact(retrieval.find(lists, _shelf(spark), catalogs, queries, asks).where("ask = 0")).collect()}
+    assert lines[2] == "a | 2 editions: 2012-13, 2013-14 | Table 1: tax of all / Table 2: tax"
+
+
+def test_have_answers_with_the_nearest_years(spark):
+    cards = _shelf(spark).select("rel", "title", "family", F.lit("x").alias("catalog"), F.lit("y").alias("head"))
+    index = search.Index.of(cards, ["rel"], ["title", "family", "catalog", "head"])
+    files = spark.createDataFrame([("z/a one.pdf", "failed_parser"), ("z/A-ONE.pdf", "image_only_no_text"), ("z/a one.txt", "indexed")], "rel string, status string")
+    families, verdict = retrieval.have(index, _shelf(spark), files, [(0, "A two"), (1, "one"), (2, "zebra"), (3, "two")], {0: "2013-14", 1: "2010-11", 3: "2099-00"})
+    assert {(r.qid, r.place, r.family, r.tier, tuple(r.fy_list)) for r in families.collect()} == {(0, 1, "a {fy}", "phrase", ("2012-13", "2013-14")), (1, 1, "a {fy}", "phrase", ("2012-13", "2013-14")), (3, 1, "a {fy}", "phrase", ("2012-13", "2013-14"))}
+    got = {r.qid: r for r in verdict.collect()}
+    assert (got[0].status, got[0].rel, got[0].n_pages) == ("EDITION_PRESENT", "a/2", 6)
+    assert (got[1].status, got[1].nearest_before, got[1].nearest_after, got[1].unreadable) == ("NO_EDITION_FOR", None, "2012-13", 2)
+    assert got[2].status == "NO_FAMILY_MATCHES" and (got[3].nearest_before, got[3].nearest_after) == ("2013-14", None)
+
+
+def test_series_has_lines_and_a_receipt(spark):
+    pages = spark.createDataFrame([("a/1", 1, "tax\n18 tax of province"), ("a/2", 1, "none"), ("c/1", 2, "tax of province 9")], "rel string, page_index int, body string")
+    index = search.Index.of(pages, ["rel", "page_index"], ["body"])
+    out, receipt = retrieval.series(index, pages, _shelf(spark), "tax of province", _shelf(spark).where("family <> 'b'"), "2012-13", "2013-14")
+    assert {(r.family, r.fy, r.page_index, r.line, r.status) for r in out.collect()} == {("a {fy}", "2012-13", 1, "18 tax of province", "ok"), ("a {fy}", "2013-14", None, None, "NO_MATCH"), ("c {fy}", "2012-13", 2, "tax of province 9", "ok")}
+    assert {tuple(r) for r in receipt.collect()} == {("a {fy}", 2, 1), ("c {fy}", 1, 1)}
+
+
+def test_vectors_are_written_in_parts_and_resumed(spark, tmp_path):
+    docs = spark.createDataFrame([(f"r{k}", f"word{k} of {k % 3}") for k in range(40)], "rel string, t string")
+    path = str(tmp_path / "v")
+
+    class Stop(Exception):
+        pass
+
+    def stop(part, seen=[]):  # noqa: B006
+        seen.append(part)
+        if len(seen) == 2:
+            raise Stop
+
+    with pytest.raises(Stop):
+        vectors.written(docs, ["rel"], F.col("t"), path, parts=4, after=stop)
+    done: list = []
+    got = vectors.written(docs, ["rel"], F.col("t"), path, parts=4, after=done.append)
+    assert len(done) == 2 and sorted(got.select("rel", "vector").collect()) == sorted(vectors.embedded(docs, ["rel"], F.col("t")).collect())
+    more = docs.where("rel <> 'r1'").unionByName(spark.createDataFrame([("r1", "changed")], "rel string, t string"))
+    done.clear()
+    assert vectors.written(more, ["rel"], F.col("t"), path, parts=4, after=done.append).count() == 40 and len(done) == 1
+    with pytest.raises(ValueError):
+        vectors.written(docs.limit(0), ["rel"], F.col("t"), path)
