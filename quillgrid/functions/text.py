@@ -29,6 +29,7 @@ FISCAL_YEAR = r"\b(20[0-3]\d-\d\d)\b"
 CAPTION = r"(?md)^[ \t]*Table\s+[A-Za-z]?\.?\d+(?:\.\d+)*\s*[:.\-–]\s*.{3,160}$"
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 UNIT = r"(?i)(?<![A-Za-z])(billion|million|percent|%|rs|rupees|tonnes|thousand)(?![A-Za-z])"
+# Fixed values too: how a Sources block, a citation and a figure look.
 SOURCES_HEAD = r"(?im)^\s*#{0,6}\s*\**\s*sources\s*\**\s*:?\s*$"
 
 

@@ -20,6 +20,11 @@ def rollup(files: DataFrame, discovered: int | None = None) -> DataFrame:
     return out.withColumn("holds", F.col("discovered") == F.col("excluded") + F.col("indexed") + F.col("failed") + F.col("other"))
 
 
+def full(files: DataFrame, pages: DataFrame, discovered: int | None = None, chars: int = 50) -> DataFrame:
+    """rollup() with the stored pages and how many of them have hardly any text."""
+    return rollup(files, discovered).crossJoin(pages.agg(F.count("*").alias("pages"), F.count_if(F.length("body") < chars).alias("thin")))  # one row each
+
+
 def thin_pages(pages: DataFrame, by: str = "rel", body: Column | None = None, chars: int = 50) -> DataFrame:
     """(by, n_thin, n_pages) where a page has fewer characters than `chars`."""
     thin = F.count_if(F.length(F.col("body") if body is None else body) < chars)

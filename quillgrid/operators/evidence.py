@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -51,15 +51,20 @@ def verified(notes: DataFrame, files: DataFrame, pages: DataFrame) -> DataFrame:
     return own.select("note_id", error.alias("error"), F.coalesce(F.col("body").isNotNull() & changed, F.lit(False)).alias("page_changed"))
 
 
-def verify_totals(checks: DataFrame) -> DataFrame:
-    return checks.agg(F.count("*").alias("n_notes"), F.count_if(F.col("error") != "ok").alias("n_bad"))
+def verify_totals(checks: DataFrame, figures_: DataFrame | None = None) -> DataFrame:
+    """(n_notes, n_bad), and n_bad_answer if the figures of answers are given: those that no note supports."""
+    out = checks.agg(F.count("*").alias("n_notes"), F.count_if(F.col("error") != "ok").alias("n_bad"))
+    return out if figures_ is None else out.crossJoin(figures_.agg(F.count_if(~F.col("supported")).alias("n_bad_answer")))  # one row each
 
 
 def figures(answers: DataFrame, notes: DataFrame) -> DataFrame:
     """(slug, figure, supported, in_notes): each figure of an answer (slug, text), and up to three notes whose quote has it."""
     stated = answers.select("slug", F.explode(F.array_distinct(T.numbers_in(T.without_citations(F.col("text"))))).alias("figure"))
     quoted = notes.select("slug", "note_id", F.explode(T.quote_numbers(F.col("quote"))).alias("figure"))
-    own = stated.join(quoted, ["slug", "figure"], "left").groupBy("slug", "figure").agg(F.slice(F.sort_array(F.collect_set("note_id")), 1, 3).alias("in_notes"))
+    place = F.row_number().over(Window.partitionBy("slug", "figure").orderBy("note_id"))
+    shown = quoted.distinct().join(stated.distinct(), ["slug", "figure"], "left_semi").withColumn("place", place).where("place <= 3")  # cut before the exchange
+    lists = shown.groupBy("slug", "figure").agg(F.sort_array(F.collect_list("note_id")).alias("in_notes"))
+    own = stated.distinct().join(lists, ["slug", "figure"], "left").withColumn("in_notes", F.coalesce("in_notes", F.array().cast(lists.schema["in_notes"].dataType)))
     return own.select("slug", "figure", (F.size("in_notes") > 0).alias("supported"), "in_notes")
 
 
@@ -98,6 +103,7 @@ def citation_rules(answers: DataFrame, opened: DataFrame, header: str | None = N
     return answers.join(first.select("session", "rule"), "session", "left").select("session", more.alias("rules"))
 
 
+# The names of the rules are results and are given.
 def answer_names(answer: Column, rel: Column) -> Column:
     """Which rule says that an answer names a file, if one does."""
     text, path = T.norm_text(answer), T.norm_path(rel)

@@ -35,7 +35,7 @@ def load(spark: SparkSession, path: str) -> dict:
 
 
 def save(spark: SparkSession, path: str, record: dict) -> None:
-    """Writes beside the path and renames, so a reader sees the old record or the new one."""
+    """Writes beside the path and renames over it in one step, so a reader sees the old record or the new one."""
     own, fs = _path(spark, path)
     beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(beside, True)
@@ -43,10 +43,10 @@ def save(spark: SparkSession, path: str, record: dict) -> None:
         out.write(bytearray(json.dumps(record, indent=1, sort_keys=True, ensure_ascii=False).encode()))
     finally:
         out.close()
-    if fs.exists(own):
-        fs.delete(own, False)
-    if not fs.rename(beside, own):
-        raise OSError(f"could not write {path}")
+    jvm = spark._jvm
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(own), how)
 
 
 def manifest(tables: dict[str, DataFrame], wallclock: tuple[str, ...] = ("indexed_at", "mtime", "built_at")) -> dict:

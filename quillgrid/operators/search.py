@@ -8,16 +8,22 @@ A query is a list of words, of which each is a phrase: a word with a hyphen or u
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 
 K1, B = 1.2, 0.75
 GAP = 1 << 24
 BUCKETS = 32
+#: Tokens that are grouped together.
+TOKENS = 1 << 20
 #: Characters between words in the name of a phrase.
 _JOIN = " "
 
@@ -26,6 +32,42 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
+def _grouped(key: list[str]):
+    """Rows (key, terms, parts) to rows (key, term, pos, dl); a batch is array work over all its tokens."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.asarray(batch.column("terms").value_lengths())
+            cuts = np.unique(np.searchsorted(np.cumsum(size), np.arange(TOKENS, int(size.sum()) + TOKENS, TOKENS), "left") + 1)
+            first = 0
+            for last in cuts.tolist():
+                yield grouped(batch.slice(first, last - first))
+                first = last
+                if first >= batch.num_rows:
+                    break
+
+    def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
+        size = np.asarray(batch.column("terms").value_lengths())
+        codes = batch.column("terms").flatten().dictionary_encode()
+        code, row = codes.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        parts = np.asarray(batch.column("parts").flatten()).reshape(len(size), -1)
+        before = np.cumsum(parts, axis=1) - parts
+        for k in range(parts.shape[1] - 1, 0, -1):  # a field's positions begin at k * GAP
+            here = (pos < GAP) & (pos >= before[row, k])
+            pos[here] += k * GAP - before[row, k][here]
+        order = np.lexsort((pos, code, row))
+        code, row = code[order], row[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+        head = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)), pa.int32()), pa.array(pos[order], pa.int32()))
+        own = pa.array(row[head])
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(own) for k in key), codes.dictionary.take(pa.array(code[head])), lists, pa.array(size[row[head]], pa.int32())], [*key, "term", "pos", "dl"])
+
+    return run
+
+
 @dataclass(frozen=True)
 class Index:
     """Postings and the documents' sizes (key, dl), with the key columns and the fields in the order of their positions."""
@@ -37,15 +79,12 @@ class Index:
 
     @classmethod
     def of(cls, docs: DataFrame, key: list[str], fields: list[str]) -> Index:
-        """The index of docs, computed where it is used."""
-
-        def placed(k: int, column: str) -> Column:
-            return F.transform(T.tokens(F.coalesce(F.col(column), F.lit(""))), lambda t, i: F.struct(t.alias("term"), (i + k * GAP).alias("pos")))
-
-        own = F.concat(*(placed(k, c) for k, c in enumerate(fields)))
-        base = docs.select(*key, own.alias("own")).withColumn("dl", F.size("own"))
-        found = base.select(*key, "dl", F.explode("own").alias("t")).groupBy(*key, "dl", "t.term").agg(F.sort_array(F.collect_list("t.pos")).alias("pos"))
-        return cls(found.select(bucket(F.col("term")), *key, "term", "pos", "dl"), base.select(*key, "dl"), key, fields)
+        """The index of docs, computed where it is used: tokens in the JVM, grouped by term within each document's own task, without an exchange."""
+        tokens = [T.tokens(F.coalesce(F.col(c), F.lit(""))) for c in fields]
+        base = docs.select(*key, F.concat(*tokens).alias("terms"), F.array(*map(F.size, tokens)).alias("parts"))
+        schema = StructType([*(base.schema[k] for k in key), StructField("term", StringType()), StructField("pos", ArrayType(IntegerType())), StructField("dl", IntegerType())])
+        found = base.mapInArrow(_grouped(key), schema)
+        return cls(found.select(bucket(F.col("term")), *key, "term", "pos", "dl"), base.select(*key, F.size("terms").alias("dl")), key, fields)
 
     def within(self, weights: dict[str, float] | None) -> tuple[Column, Column]:
         """Positions in the weighted fields, and the sum of their weights."""

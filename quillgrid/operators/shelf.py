@@ -37,20 +37,42 @@ def catalogs(pages: DataFrame, captions: DataFrame, first: int = 15, chars: int
     return contents.join(lines, "rel", "full_outer").select("rel", F.concat(F.coalesce("contents", F.lit("")), F.lit("\n"), F.coalesce("lines", F.lit(""))).alias("catalog"))
 
 
+_GROUP = ["family", "fy", "sha256"]
+
+
+def _keepers(docs: DataFrame) -> DataFrame:
+    """(family, fy, sha256, keeper, n_dupes): of equal files in an edition the one with the shortest, least path."""
+    return docs.groupBy(*_GROUP).agg(F.min(F.struct(F.length("rel").alias("n"), "rel"))["rel"].alias("keeper"), (F.count("*") - 1).cast("int").alias("n_dupes"))
+
+
+def collapsed(docs: DataFrame) -> DataFrame:
+    """docs without hidden copies, with n_dupes. Copies are counted where they lie; a file with any number of them is one row."""
+    kept = _keepers(docs).select(F.col("keeper").alias("rel"), "n_dupes")
+    return docs.join(kept, "rel")
+
+
+def shadows(docs: DataFrame) -> DataFrame:
+    """(shadow, keeper, family, fy, sha256): each hidden copy with the file that stands for it."""
+    kept = _keepers(docs).where("n_dupes > 0").select(*(F.col(c).alias(f"k_{c}") for c in _GROUP), "keeper")
+    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in _GROUP]
+    return docs.join(kept, same[0] & same[1] & same[2]).where("rel <> keeper").select(F.col("rel").alias("shadow"), "keeper", *_GROUP)
+
+
 def survivors(docs: DataFrame) -> DataFrame:
-    """Of equal files in an edition the one with the shortest, least path; dupes lists the others."""
-    group = docs.groupBy("family", "fy", "sha256").agg(F.array_sort(F.collect_list(F.struct(F.length("rel").alias("n"), "rel"))).alias("own"))
-    kept = group.select(F.get("own", F.lit(0))["rel"].alias("rel"), F.transform(F.slice("own", F.lit(2), F.size("own")), lambda x: x["rel"]).alias("dupes"))
-    return docs.join(kept, "rel").withColumn("n_dupes", F.size("dupes"))
+    """collapsed() with the list of each file's hidden copies, for shelves that show it."""
+    lists = shadows(docs).groupBy("keeper").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.length("shadow").alias("n"), "shadow"))), lambda x: x["shadow"]).alias("dupes"))
+    own = collapsed(docs).join(lists.withColumnRenamed("keeper", "rel"), "rel", "left")
+    return own.withColumn("dupes", F.coalesce("dupes", F.array().cast("array<string>"))).select(*docs.columns, "dupes", "n_dupes")
 
 
 def with_primary(kept: DataFrame, consensus: bool = False) -> DataFrame:
     """is_primary: one of each edition, by pages, size and path; with consensus unmarked files and copied ones come first. Without a year all are."""
-    order = [F.desc("n_pages"), F.desc("size"), F.length("rel"), F.col("rel")]
+    order = [-F.coalesce("n_pages", F.lit(-1)), -F.coalesce("size", F.lit(-1)), F.length("rel"), F.col("rel")]
     if consensus:
-        order = [T.has_marker(T.stem(F.col("rel"))).cast("int"), F.desc("n_dupes"), *order]
-    place = F.row_number().over(Window.partitionBy("family", "fy").orderBy(*order))
-    return kept.withColumn("is_primary", F.col("fy").isNull() | (place == 1))
+        order = [T.has_marker(T.stem(F.col("rel"))).cast("int"), -F.col("n_dupes"), *order]
+    key = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))
+    best = kept.where("fy is not null").groupBy("family", "fy").agg(F.min(F.struct(key.alias("key"), "rel"))["rel"].alias("rel")).select("rel", F.lit(True).alias("best"))
+    return kept.join(best, "rel", "left").withColumn("is_primary", F.col("fy").isNull() | F.coalesce("best", F.lit(False))).select(*kept.columns, "is_primary")
 
 
 def families(kept: DataFrame) -> DataFrame:
@@ -101,6 +123,32 @@ def dupe_audit(kept: DataFrame, files: DataFrame) -> DataFrame:
     return own.groupBy("keeper", "family", "fy").agg(F.count("*").alias("n_shadows"), F.max(beats).alias("risky"))
 
 
+def audit_totals(audit: DataFrame) -> DataFrame:
+    """(groups_with_copies, copies_hidden, risky_groups) of dupe_audit()."""
+    return audit.agg(F.count("*").alias("groups_with_copies"), F.coalesce(F.sum("n_shadows"), F.lit(0)).alias("copies_hidden"), F.count_if("risky").alias("risky_groups"))
+
+
+def worst(audit: DataFrame, most: int) -> DataFrame:
+    """The groups to look at first: risky ones, then those with most hidden copies."""
+    return audit.orderBy(F.desc(F.coalesce("risky", F.lit(False))), F.desc("n_shadows"), "keeper").limit(most)
+
+
+def stale(files: DataFrame, kept: DataFrame) -> DataFrame:
+    """Cards and hidden copies (rel) of files that are indexed no more."""
+    return kept.select("rel").unionAll(kept.select(F.explode("dupes").alias("rel"))).join(files.where("status = 'indexed'").select("rel"), "rel", "left_anti")
+
+
+def counters(cards_: DataFrame, consensus: DataFrame, captions: DataFrame) -> DataFrame:
+    """One row of a build's counters, from the shelf with title_source and is_primary, the same shelf with primaries by consensus, and the captions."""
+    fam = cards_.groupBy("family").agg(F.count_distinct(F.when(F.col("is_primary"), F.col("fy"))).alias("n")).agg(F.count("*").alias("n_families"), F.count_if(F.col("n") >= 2).alias("n_families_with_2plus_editions"))
+    groups = cards_.where("fy is not null").groupBy("family", "fy").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_multi_copy_editions"))
+    first = lambda d, c: d.where("is_primary and fy is not null").select("family", "fy", F.col("rel").alias(c))
+    changed = first(cards_, "a").join(first(consensus, "b"), ["family", "fy"]).agg(F.count_if(F.col("a") != F.col("b")).alias("n_primary_changed"))
+    own = cards_.agg(F.count("*").alias("n_docs"), F.count_if(F.col("title_source") == "page0").alias("n_title_from_page0"), F.count_if(F.col("fy").isNotNull()).alias("n_with_fy"), F.coalesce(F.sum("n_dupes"), F.lit(0)).alias("n_dupes"), F.count_if(F.contains("family", F.lit("{yr}"))).alias("n_docs_with_calendar_year"))
+    out = own.crossJoin(fam).crossJoin(groups).crossJoin(changed)  # one row each
+    return out.crossJoin(captions.agg(F.count("*").alias("n_captions")))
+
+
 def nearest_years(docs: DataFrame, asked: Column) -> DataFrame:
     """(family, asked, verdict, before, after): whether a family has the year, and the nearest years if not."""
     own = docs.where("is_primary and fy is not null").withColumn("asked", asked)

@@ -28,12 +28,18 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.CORPUS}, {KEPT} SELECT rel, family, fy, n_dupes FROM kept")
 def dedupe_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shelf.survivors(docs(spark, sf_dir)).select("rel", "family", "fy", F.col("n_dupes").cast("long").alias("n_dupes"))
+    return shelf.collapsed(docs(spark, sf_dir)).select("rel", "family", "fy", F.col("n_dupes").cast("long").alias("n_dupes"))
+
+
+@query(f"WITH {sql.CORPUS}, {KEPT} SELECT shadow, keeper FROM dupes")
+def hidden_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hidden copy with the file that stands for it."""
+    return shelf.shadows(docs(spark, sf_dir)).select("shadow", "keeper")
 
 
 @query(f"WITH {sql.CORPUS}, {KEPT} SELECT rel, is_primary FROM kept")
 def edition_primary_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir).select("rel", "is_primary")
+    return shelf.with_primary(shelf.collapsed(docs(spark, sf_dir))).select("rel", "is_primary")
 
 
 _STEM = "regexp_replace(string_split(rel, '/')[-1], '\\.[^.]*$', '')"
@@ -41,7 +47,7 @@ _STEM = "regexp_replace(string_split(rel, '/')[-1], '\\.[^.]*$', '')"
 
 @query(f"WITH {sql.CORPUS}, {KEPT} SELECT rel, fy IS NULL OR row_number() OVER (PARTITION BY family, fy ORDER BY CASE WHEN regexp_matches({_STEM}, '(?i)(^|[^A-Za-z0-9])({T.MARKERS})($|[^A-Za-z0-9])') THEN 1 ELSE 0 END, n_dupes DESC, n_pages DESC, size DESC, length(rel), rel) = 1 AS is_primary FROM kept")
 def edition_primary_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shelf.with_primary(shelf.survivors(docs(spark, sf_dir)), consensus=True).select("rel", "is_primary")
+    return shelf.with_primary(shelf.collapsed(docs(spark, sf_dir)), consensus=True).select("rel", "is_primary")
 
 
 _FAMILIES = "SELECT family, count(DISTINCT fy) FILTER (is_primary) AS n_editions, count(*) AS n_members, coalesce(array_to_string(list_sort(list(DISTINCT fy) FILTER (is_primary AND fy IS NOT NULL)), ','), '') AS fy_list FROM kept GROUP BY family"
@@ -95,6 +101,27 @@ def dupe_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf.dupe_audit(kept(spark, sf_dir), derived.files(spark, sf_dir))
 
 
+_AUDIT = "audit AS (SELECT keeper, count(*) AS n_shadows, max(fs.n_pages > fk.n_pages OR (fs.n_pages = fk.n_pages AND fs.size > fk.size) OR length(shadow) % 7 = 0) AS risky FROM dupes d JOIN files fs ON fs.rel = shadow JOIN files fk ON fk.rel = keeper GROUP BY ALL)"
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of files whose index says one page more for every seventh copy, so that some are risky."""
+    files = derived.files(spark, sf_dir).withColumn("n_pages", F.col("n_pages") + ((F.length("rel") % 7 == 0) & F.startswith("rel", F.lit("copies again/"))).cast("int"))
+    return shelf.dupe_audit(kept(spark, sf_dir), files)
+
+
+@query(f"WITH {sql.CORPUS}, {KEPT}, {_AUDIT} SELECT count(*) AS groups_with_copies, sum(n_shadows) AS copies_hidden, count(*) FILTER (risky) AS risky_groups FROM audit")
+def dupe_audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shelf.audit_totals(_audited(spark, sf_dir))
+    return out.withColumn("copies_hidden", F.col("copies_hidden").cast("decimal(38,0)"))
+
+
+@query(f"WITH {sql.CORPUS}, {KEPT}, {_AUDIT} SELECT keeper, n_shadows, risky FROM audit ORDER BY risky DESC, n_shadows DESC, keeper LIMIT 10")
+def dupe_audit_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten groups of copies to look at first."""
+    return shelf.worst(_audited(spark, sf_dir), 10).select("keeper", "n_shadows", "risky")
+
+
 @query(f"""WITH {sql.CORPUS}, {KEPT}, p AS (SELECT family, fy, arg_max(sha256, rel) AS sha FROM kept WHERE is_primary GROUP BY ALL) SELECT a.rel, b.rel AS copy, b.is_primary, b.sha256 = p.sha AS same_hash_as_primary FROM kept a JOIN kept b ON a.family = b.family AND a.fy IS NOT DISTINCT FROM b.fy JOIN p ON p.family = a.family AND p.fy IS NOT DISTINCT FROM a.fy WHERE a.is_primary AND a.fy IS NOT NULL
 UNION ALL SELECT keeper, shadow, false, d.sha256 = p.sha FROM dupes d JOIN p ON p.family = d.family AND p.fy = d.fy WHERE keeper IN (SELECT rel FROM kept WHERE is_primary)""")
 def copies_of_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +152,26 @@ def missing_from_shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf.missing(derived.files(spark, sf_dir), old).select("rel")
 
 
+@query(f"WITH {sql.CORPUS}, {DOCS} SELECT rel FROM docs WHERE length(rel) % 6 = 0")
+def stale_on_shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards and hidden copies of files that the index has lost."""
+    return shelf.stale(derived.files(spark, sf_dir).where(F.length("rel") % 6 != 0), kept(spark, sf_dir))
+
+
+_V2 = f"v2 AS (SELECT rel, family, fy, row_number() OVER (PARTITION BY family, fy ORDER BY CASE WHEN regexp_matches({_STEM}, '(?i)(^|[^A-Za-z0-9])({T.MARKERS})($|[^A-Za-z0-9])') THEN 1 ELSE 0 END, n_dupes DESC, n_pages DESC, size DESC, length(rel), rel) AS k2 FROM kept WHERE fy IS NOT NULL)"
+
+
+@query(f"""WITH {sql.CORPUS}, {KEPT}, {_V2}, {_CAPTIONS}, fam AS (SELECT family, count(DISTINCT fy) FILTER (is_primary) AS n FROM kept GROUP BY family) SELECT count(*) AS n_docs, count(*) FILTER (len(regexp_extract_all(title, '[A-Za-z]{{2,}}')) >= 3) AS n_title_from_page0, count(*) FILTER (fy IS NOT NULL) AS n_with_fy,
+sum(n_dupes) AS n_dupes, count(*) FILTER (contains(family, '{{yr}}')) AS n_docs_with_calendar_year, (SELECT count(*) FROM fam) AS n_families, (SELECT count(*) FROM fam WHERE n >= 2) AS n_families_with_2plus_editions,
+(SELECT count(*) FROM (SELECT family, fy FROM kept WHERE fy IS NOT NULL GROUP BY ALL HAVING count(*) > 1) g) AS n_multi_copy_editions, (SELECT count(*) FROM v2 JOIN kept a USING (rel) WHERE k2 = 1 AND NOT a.is_primary) AS n_primary_changed,
+(SELECT count(*) FROM (SELECT DISTINCT rel, caption FROM caps) c) AS n_captions FROM kept""")
+def build_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a build, primaries that consensus would change among them."""
+    cards_ = shelf.collapsed(docs(spark, sf_dir)).withColumn("title_source", T.title_source(F.col("title")))
+    out = shelf.counters(shelf.with_primary(cards_), shelf.with_primary(cards_, consensus=True), shelf.harvested(derived.pages(spark, sf_dir)))
+    return out.withColumn("n_dupes", F.col("n_dupes").cast("decimal(38,0)"))
+
+
 @query(f"WITH {sql.CORPUS}, {KEPT} SELECT count(*) AS n_docs, count(*) FILTER (fy IS NOT NULL) AS with_fy, sum(n_dupes) AS n_dupes, count(*) FILTER (is_primary) AS n_primary, count(*) + sum(n_dupes) = (SELECT count(*) FROM docs) AS n_docs_matches FROM kept")
 def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = docs(spark, sf_dir)
@@ -132,12 +179,16 @@ def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_docs_matches", F.col("n_docs") + F.col("n_dupes") == F.lit(every.count()))
 
 
-@query()
+_PART = lambda i: f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS BIGINT)"
+
+
+@query(f"""WITH {sql.CORPUS}, {KEPT}, f AS (SELECT family, coalesce(list_sort(list(DISTINCT fy) FILTER (is_primary AND fy IS NOT NULL)), []) AS fy_list, count(DISTINCT fy) FILTER (is_primary) AS n_editions, count(*) AS n_members FROM kept GROUP BY family),
+j AS (SELECT sha256(CAST(to_json(struct_pack(family := family, fy_list := fy_list, n_editions := n_editions, n_members := n_members)) AS VARCHAR)) AS h FROM f) SELECT count(*) AS n_rows, sha256(concat_ws('|', count(*), {", ".join(_PART(i) for i in range(4))})) AS digest FROM j""")
 def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf.canonical_hash(shelf.families(kept(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {sql.CORPUS} SELECT c.rel, left(title_line, 160) AS title, 'page0' AS title_source, {sql.family('title_line', 'fy')} AS family, fy FROM corpus c JOIN files f USING (rel) WHERE status = 'indexed'")
 def cards_built(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards from stored pages and files."""
     return shelf.cards(derived.pages(spark, sf_dir), derived.files(spark, sf_dir)).select("rel", "title", "title_source", "family", "fy")

@@ -36,10 +36,18 @@ def coverage_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.by_status(derived.files(spark, sf_dir))
 
 
-@query("WITH " + sql.CORPUS + """ SELECT count(*) AS discovered, CAST(0 AS BIGINT) AS excluded, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (starts_with(status, 'failed_')) AS failed,
-count(*) FILTER (status <> 'indexed' AND NOT starts_with(status, 'failed_')) AS other, true AS holds FROM files""")
+_ON_DISK = "disk AS (SELECT rel FROM files UNION ALL SELECT concat('node_modules/', rel) FROM files WHERE length(rel) % 3 = 0 UNION ALL SELECT 'CLAUDE.md')"
+
+
+@query("WITH " + sql.CORPUS + f""", {_ON_DISK}, n AS (SELECT (SELECT count(*) FROM disk) AS discovered, count(*) AS seen, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (starts_with(status, 'failed_')) AS failed,
+count(*) FILTER (status <> 'indexed' AND NOT starts_with(status, 'failed_')) AS other FROM files), x AS (SELECT count(*) AS excluded FROM disk WHERE rel = 'CLAUDE.md' OR starts_with(rel, 'node_modules/'))
+SELECT discovered, excluded, indexed, failed, other, discovered = excluded + indexed + failed + other AS holds, (SELECT count(*) FROM page_rows) AS pages, (SELECT count(*) FILTER (length(body) < 50) FROM page_rows) AS thin FROM n, x""")
 def coverage_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.rollup(derived.files(spark, sf_dir))
+    """What is on disk, dependency files too, against what became of it, with pages and thin ones."""
+    listed = derived.files(spark, sf_dir)
+    disk = listed.select("rel").unionAll(listed.where(F.length("rel") % 3 == 0).select(F.concat(F.lit("node_modules/"), "rel"))).unionAll(spark.range(1).select(F.lit("CLAUDE.md")))
+    kept, _ = files.walk(disk)
+    return coverage.full(kept.join(listed, "rel"), derived.pages(spark, sf_dir), disk.count())
 
 
 @query("SELECT source, count(*) FILTER (length(text) < 50) AS n_thin, count(*) AS n_pages FROM documents GROUP BY source HAVING count(*) FILTER (length(text) < 50) > 0")

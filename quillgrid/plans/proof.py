@@ -67,7 +67,7 @@ def quote_on_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.contains(T.squeezed(F.col("text")), F.col("quote"))).groupBy(F.col("qid").alias("item_id")).agg(F.count("*").alias("n_docs"))
 
 
-_ANSWERS = "SELECT conv_id AS session, concat('a', CAST(conv_id % 4 AS {S})) AS slug, concat(text, ' It was ', CAST(conv_id * 11 + 10 AS {S}), ' in 2018-19, and 7,', CAST(100 + conv_id AS {S}), ' | x/y.txt | p', CAST(conv_id AS {S})) AS text FROM (SELECT conv_id, max_by(text, turn) AS text FROM {T} GROUP BY conv_id) z"
+_ANSWERS = "SELECT conv_id AS session, concat('a', CAST(conv_id % 4 AS {S})) AS slug, concat(text, ' It was ', CAST(conv_id * 11 + 10 AS {S}), ' in 2018-19, and 4242 of 7,', CAST(100 + conv_id AS {S}), ' | x/y.txt | p', CAST(conv_id AS {S})) AS text FROM (SELECT conv_id, max_by(text, turn) AS text FROM {T} GROUP BY conv_id) z"
 _QUOTES = "SELECT conv_id AS note_id, concat('a', CAST(conv_id % 4 AS {S})) AS slug, concat('row ', CAST(conv_id * 11 + 10 AS {S}), ' and 7', CAST(101 + conv_id AS {S})) AS quote FROM (SELECT DISTINCT conv_id FROM {T}) z WHERE conv_id % 3 <> 0"
 _FIG = f"""answers AS ({_ANSWERS.format(S="VARCHAR", T="conversations").replace("max_by", "arg_max")}), quotes AS ({_QUOTES.format(S="VARCHAR", T="conversations")}),
 prose AS (SELECT session, slug, regexp_replace(text, '(?i)\\|[^|\\n]*\\|\\s*p\\d+\\b|\\bp\\d+\\b', ' ', 'g') AS t FROM answers), stated AS (SELECT DISTINCT session, slug, unnest(list_filter(list_transform(regexp_extract_all(regexp_replace(t, '\\b(19|20)\\d\\d\\s*[-/]\\s*\\d\\d\\b', ' ', 'g'), '\\d[\\d,]*(?:\\.\\d+)?'), lambda n: regexp_replace(replace(n, ',', ''), '\\.+$', '')), lambda n: length(replace(n, '.', '')) >= 2 AND NOT regexp_matches(replace(n, '.', ''), '^(19|20)\\d\\d$'))) AS figure FROM prose),
@@ -85,6 +85,12 @@ def figures_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.figures(answers, quotes).withColumn("in_notes", F.array_join(F.col("in_notes").cast("array<string>"), ","))
 
 
+@query(f"WITH {_SQL}, {_FIG}, q AS (SELECT DISTINCT slug, figure FROM stated) SELECT (SELECT count(*) FROM judged) AS n_notes, (SELECT count(*) FROM judged WHERE {_ERROR} <> 'ok') AS n_bad, (SELECT count(*) FROM q WHERE NOT EXISTS (SELECT 1 FROM quoted n WHERE n.slug = q.slug AND n.figure = q.figure)) AS n_bad_answer")
+def verify_answer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the notes' checks, with the figures of answers that no note supports."""
+    return evidence.verify_totals(verify_notes(spark, sf_dir), evidence.figures(*_answers(spark, sf_dir)))
+
+
 @query(f"WITH {_FIG}, f AS (SELECT DISTINCT session % 5 AS session, slug, s.figure, EXISTS (SELECT 1 FROM quoted q WHERE q.slug = s.slug AND q.figure = s.figure) AS supported FROM stated s), n AS (SELECT session, count(DISTINCT slug) AS n FROM f GROUP BY session) SELECT session, figure FROM f JOIN n USING (session) WHERE NOT supported GROUP BY session, figure, n HAVING count(DISTINCT slug) = n")
 def merge_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures that no slug of a session supports; a session is a fifth of the conversations here."""

@@ -24,7 +24,7 @@ def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shelf.harvested(derived.pages(spark, sf_dir))
 
 
-_INDEXED = {
+INDEXED = {
     "documents": (derived.documents, ["doc_id"], ["text"]),
     "cards": (_cards, ["rel"], list(_CARD_FIELDS)),
     "captions": (_captions, ["rel", "page_index", "ord"], ["caption"]),
@@ -34,10 +34,10 @@ _INDEXED = {
 
 def index(spark: SparkSession, sf_dir: str, name: str) -> Index:
     """The stored postings of one of the tables; made at the first use."""
-    docs, key, fields = _INDEXED[name]
+    docs, key, fields = INDEXED[name]
 
     def build() -> dict:
-        own = Index.of(docs(spark, sf_dir), key, fields)
+        own = Index.of(store.spread(docs(spark, sf_dir)), key, fields)
         return {"postings": (own.postings, ["bucket"]), "sizes": (own.sizes, None)}
 
     own = store.stored(spark, f"index-{name}", [f"{sf_dir}/documents.parquet"], build)
@@ -48,7 +48,7 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Stored pages, captions with vectors, cards with vectors, and the shelf."""
 
     def build() -> dict:
-        pages, cards = derived.pages(spark, sf_dir), _cards(spark, sf_dir)
+        pages, cards = derived.pages(spark, sf_dir), store.spread(_cards(spark, sf_dir))
         captions = shelf.harvested(pages)
         key = ["rel", "page_index", "ord"]
         caption_vectors = vectors.embedded(captions, key, F.col("caption")).join(captions, key)

@@ -50,18 +50,21 @@ def words(queries: str, expr: str = "", name: str = "terms") -> str:
 
 
 def bm25(docs: str, key: str, fields: dict[str, float], queries: str, scope: str | None = None, prefix: str = "", expr: str = "", also: tuple[str, ...] = ()) -> str:
-    """CTEs for hits(qid, key, score, n_terms); docs and queries (qid, query) are given as CTEs or tables. Sizes count the fields in `also` too."""
+    """CTEs for hits(qid, key, score, n_terms); docs and queries (qid, query) are given as CTEs or tables. Sizes count the fields in `also` too.
+
+    Places of a phrase are counted in a string that has two spaces between tokens, so that one place does not take the next one's space; a phrase
+    that overlaps itself would be counted once.
+    """
     s, on = (f"{scope}, ", f"AND x.{scope} = y.{scope}") if scope else ("", "")
-    parts = " UNION ALL ".join(f"SELECT {key}, {tokens(c)} AS t, {w} AS w FROM {docs}" for c, w in fields.items())
+    parts = " UNION ALL ".join(f"SELECT {key}, t, concat(' ', array_to_string(t, '  '), ' ') AS p, {w} AS w FROM (SELECT {key}, {tokens(c)} AS t FROM {docs}) own" for c, w in fields.items())
     size = " + ".join(f"len({tokens(c)})" for c in (*fields, *also))
     stats = f"SELECT {s}count(*) AS docs, avg(dl) AS avgdl FROM {prefix}size" + (f" GROUP BY {scope}" if scope else "")
     return f"""{words(queries, expr, prefix + "terms")},
 {prefix}size AS (SELECT {key}, {size} AS dl FROM {docs}),
 {prefix}stats AS ({stats}),
-{prefix}parts AS ({parts}),
+{prefix}parts AS MATERIALIZED ({parts}),
 {prefix}post AS (SELECT {key}, term, sum(w) AS f FROM (SELECT {key}, unnest(t) AS term, w FROM {prefix}parts) p WHERE term IN (SELECT term FROM {prefix}terms WHERE len(toks) = 1) GROUP BY ALL
-  UNION ALL SELECT {key}, term, sum(w * n) FROM (SELECT {key}, term, w, len(list_filter(range(1, len(t) - len(toks) + 2), lambda i: t[i:i + len(toks) - 1] = toks)) AS n
-    FROM {prefix}parts JOIN (SELECT DISTINCT term, toks FROM {prefix}terms WHERE len(toks) > 1) m ON contains(concat(' ', array_to_string(t, ' '), ' '), concat(' ', term, ' '))) q WHERE n > 0 GROUP BY ALL),
+  UNION ALL SELECT {key}, term, sum(w * (len(string_split(p, ph)) - 1)) FROM {prefix}parts JOIN (SELECT DISTINCT term, concat(' ', array_to_string(toks, '  '), ' ') AS ph FROM {prefix}terms WHERE len(toks) > 1) m ON contains(p, ph) GROUP BY ALL),
 {prefix}df AS (SELECT {s}term, count(*) AS df FROM {prefix}post GROUP BY ALL),
 {prefix}hits AS (SELECT qid, {", ".join("x." + k.strip() for k in key.split(","))}, count(*) AS n_terms,
   sum(CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score

@@ -32,9 +32,17 @@ def resolve(spark: SparkSession, registry: str, path: str) -> dict:
     return known[max(found, key=len)]
 
 
+class MissingIndex(LookupError):
+    """A corpus is registered but a table of it has not been built."""
+
+    exit_code = 2
+
+
 def table(spark: SparkSession, corpus: dict, name: str) -> DataFrame:
     if name not in TABLES:
         raise LookupError(f"no such table: {name}")
+    if not ledger.exists(spark, f"{corpus['store']}/{name}"):
+        raise MissingIndex(f"{corpus['store']}/{name} is not there: build the index first")
     return spark.read.parquet(f"{corpus['store']}/{name}")
 
 

@@ -45,6 +45,12 @@ def checked_write(table: DataFrame, path: str, partition: list[str] | None = Non
     return found
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are fewer than those, as small inputs are; larger ones stay as they lie."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], dict[str, tuple[DataFrame, list[str] | None]]], version: str = "1") -> dict[str, DataFrame]:
     """The tables that build() makes of the inputs, each with the columns that part it into directories, or none.
 
