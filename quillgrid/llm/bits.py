@@ -34,6 +34,7 @@ _MASK32, _MASK31, _MASK30, _MASK29 = (U64((1 << k) - 1) for k in (32, 31, 30, 29
 _BASES = (0x1A96D2F7B3C4E58D, 0x0B7E151628AED2A7)
 _POWERS: dict[int, np.ndarray] = {}
 _BLOCK = 1 << 20
+LONG = 64
 
 
 def reduced(x: np.ndarray) -> np.ndarray:
@@ -98,6 +99,28 @@ class Roll:
         return mix(self._hash(self.acc[:n], self.acc[width : width + n], self.inverse[:n]) + U64(width * 0x9E3779B97F4A7C15 % (1 << 64))) if n else np.zeros(0, U64)
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans that are mostly short, as words are: eight bytes at a time, mixed after each; of more than LONG bytes by Roll."""
+    size = end - start
+    out = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    if not len(start):
+        return out
+    load = np.ndarray(len(data), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    alive = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        left = size[alive] - k
+        alive, left = alive[left > 0], left[left > 0]
+        if not len(alive):
+            break
+        part = load[start[alive] + k] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * np.minimum(left, 8).astype(U64)))
+        out[alive] = mix((out[alive] ^ part) + U64(0xD1342543DE82EF95))
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        ends = np.cumsum(size[long])
+        out[long] = Roll(data[ranges(start[long], size[long])]).spans(ends - size[long], ends)
+    return out
+
+
 def grams(values: np.ndarray, width: int) -> np.ndarray:
     """A number for every span of this width, by start, that equal spans share: for choosing places, not for telling spans apart."""
     n = max(0, len(values) - width + 1)

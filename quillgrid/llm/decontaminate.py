@@ -46,7 +46,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = bits.buffer(column)
     data = TOKEN[data]
     start, end, count = bits.words(data, offsets)
-    return (bits.Roll(data).spans(start, end) if len(data) else np.zeros(0, np.uint64)), count
+    return (bits.hashes(data, start, end) if len(data) else np.zeros(0, np.uint64)), count
 
 
 def seeds(token: np.ndarray, count: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:

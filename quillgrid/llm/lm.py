@@ -67,6 +67,7 @@ class EliasFano:
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, before: np.ndarray) -> None:
         self.n, self.low_bits, self.low, self.high, self.before = n, low_bits, low, high, before
         self.words = np.ndarray(max(0, len(low) - 7), "<u8", low, strides=(1,)) if len(low) > 7 else np.zeros(1, np.uint64)
+        self.unary = np.ndarray(8 * len(high) - 7, "<u8", high, strides=(1,)) if len(high) else np.zeros(1, np.uint64)
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -110,22 +111,33 @@ class EliasFano:
         return (self.select(i, True) - i).astype(np.uint64) << np.uint64(self.low_bits) | self.low_at(i)
 
     def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and end of the elements with these high bits."""
+        """First and end of the elements with these high bits: a select for the first, then the ones that follow."""
         high = np.minimum(high, 64 * len(self.high) - self.n - 1)  # the zeros there are
         first = np.where(high > 0, self.select(np.maximum(high - 1, 0), False) - high + 1, 0)
-        return first, self.select(high, False) - high
-
-    def successor(self, value: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The place in first..end of the first element not less than each value: by its bucket, then by bisection of the low bits."""
+        at = first + high
+        zeros = ~(self.unary[np.minimum(at >> 3, len(self.unary) - 1)] >> (at & 7).astype(np.uint64))
+        size = np.bitwise_count((zeros & (~zeros + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        more = np.flatnonzero(size >= 56)  # the word may not hold them all
+        size[more] = self.select(high[more], False) - high[more] - first[more]
+        return first, first + size
+
+    def search(self, value: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place in first..end of the first element not less than each value, and whether it equals it: by its bucket, then by bisection of the low bits."""
         a, b = self.bucket((value >> np.uint64(self.low_bits)).astype(np.int64))
-        at, last = np.minimum(np.maximum(a, first), end), np.maximum(np.minimum(b, end), first)
+        at, stop = np.minimum(np.maximum(a, first), end), np.maximum(np.minimum(b, end), first)
+        last = stop.copy()
         low = value & np.uint64((1 << self.low_bits) - 1)
         while len(alive := np.flatnonzero(at < last)):
             middle = (at[alive] + last[alive]) >> 1
             less = self.low_at(middle) < low[alive]
             at[alive] = np.where(less, middle + 1, at[alive])
             last[alive] = np.where(less, last[alive], middle)
-        return at
+        equal = at < stop  # in the bucket the high bits agree
+        equal[equal] = self.low_at(at[equal]) == low[equal]
+        return at, equal
+
+    def successor(self, value: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.search(value, first, end)[0]
 
     def values(self) -> np.ndarray:
         """All elements, for a reader that wants every one."""
@@ -190,12 +202,10 @@ class Trie:
         out = np.zeros(len(value), np.uint8)
         for a in range(0, len(value) if self.level.n else 0, QUERIES):
             own = value[a : a + QUERIES]
-            context = (own >> np.uint64(WIDTH)).astype(np.int64)
-            first, end = (self.pointer.get(c).astype(np.int64) for c in (context, context + 1))
-            at = self.level.successor(own, first, end)
-            found = np.flatnonzero(at < end)
-            found = found[self.level.get(at[found]) == own[found]]
-            out[a + found] = self.code[at[found]]
+            context, which = np.unique((own >> np.uint64(WIDTH)).astype(np.int64), return_inverse=True)
+            first, end = (self.pointer.get(c).astype(np.int64)[which] for c in (context, context + 1))
+            at, found = self.level.search(own, first, end)
+            out[a + np.flatnonzero(found)] = self.code[at[found]]
         return out
 
 
@@ -243,7 +253,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = bits.buffer(column)
     data = bits.LOWER[data]
     start, end, count = bits.words(data, offsets)
-    word = bits.Roll(data).spans(start, end) if len(data) else np.zeros(0, np.uint64)
+    word = bits.hashes(data, start, end) if len(data) else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(count)), count + 1)
     token = np.full(len(row), END)
     token[np.arange(len(word)) + np.repeat(np.arange(len(count)), count)] = word

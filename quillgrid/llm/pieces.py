@@ -198,7 +198,7 @@ class Pieces:
         edge = np.flatnonzero(cut)
         start, end = edge[:-1], edge[1:]
         raw = data.tobytes()
-        _, first, which = np.unique(bits.Roll(data).spans(start, end), return_index=True, return_inverse=True)
+        _, first, which = np.unique(bits.hashes(data, start, end), return_index=True, return_inverse=True)
         size = end - start
         if not (np.array_equal(size, size[first][which]) and np.array_equal(data, data[bits.ranges(start[first][which], size)])):  # a hash that two segments share
             seen: dict[bytes, int] = {}

@@ -46,7 +46,7 @@ class Words:
         self.id = ids.fill_null(0).to_numpy(zero_copy_only=False)
         first = np.cumsum(self.count) - self.count
         windows = np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.maximum(self.count - length + 1, 0), 0)
-        token = bits.Roll(self.data).spans(self.start, self.end) if len(self.data) else np.zeros(0, np.uint64)
+        token = bits.hashes(self.data, self.start, self.end) if len(self.data) else np.zeros(0, np.uint64)
         self.roll, self.second = bits.Roll(token), bits.Roll(token, second=True)
         grams = bits.grams(token, gram)
         self.pos, self.lo, self.hi = chosen(grams, first, windows, length - gram + 1)

@@ -68,3 +68,21 @@ def test_words_and_windows_differ(spark):
     n, v = sum(count.values()), len(count)
     for r in lm.scored(docs).collect():
         assert math.isclose(r.base_score, sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in [*texts[r.doc_id].split(), None]), rel_tol=1e-12)
+
+
+def test_short_spans_hash_by_their_bytes_alone():
+    draw = np.random.default_rng(5)
+    words = [draw.integers(97, 100, n).astype(np.uint8).tobytes() for n in (*range(1, 80), 200, 1000) for _ in range(30)]
+    words += [b"a\0", b"a", b"a\0\0", b"\0" * 8, b"\0" * 9, PLAIN.encode(), OTHER.encode()]
+    place = draw.permutation(len(words))
+    for order in (np.arange(len(words)), place):
+        data = np.frombuffer(b"".join(words[k] for k in order), np.uint8)
+        size = np.array([len(words[k]) for k in order])
+        end = np.cumsum(size)
+        got = bits.hashes(data, end - size, end)
+        seen: dict = {}
+        for k, h in zip(order, got.tolist()):
+            assert seen.setdefault(words[k], h) == h
+        assert len(set(seen.values())) == len(seen)
+        first = seen if order is not place else first  # noqa: F821
+        assert seen == first
