@@ -65,7 +65,7 @@ def pack_bytes(df: DataFrame) -> int:
 
 def packed(batch: pa.RecordBatch | pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
         out.write(batch)
     return sink.getvalue().to_pybytes()
 

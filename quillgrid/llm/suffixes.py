@@ -147,7 +147,7 @@ def front_coded(items: list[tuple[bytes, bytes, int, int]]) -> bytes:
         last = s
     head = [lcp, np.array([len(t) for t in tails], np.uint16), np.array([len(b) for _, b, *_ in items], np.uint16), np.array([k for *_, k, _ in items], np.uint32), np.array([c for *_, c in items], np.uint8)]
     raw = struct.pack("<i", len(items)) + b"".join(x.tobytes() for x in head) + b"".join(tails) + b"".join(b for _, b, *_ in items)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def decoded(blob: bytes) -> tuple[list[bytes], list[int], list[bytes], list[int], list[int]]:
