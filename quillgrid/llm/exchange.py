@@ -159,7 +159,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         found = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         many = max(HUB, int(edges * HUB_SHARE))
         hubs = F.broadcast(found.where(F.col("n") > many).select("u", F.col("m").alias("hub")))
-        rest = found.where(F.col("n") <= many).select("u", F.lit(0).alias("part"), "m")
+        rest = found.where(F.col("n") <= many).select("u", (F.col("n") > many).cast("int").alias("part"), "m")  # a literal 0 would leave u as the only key
         own = pairs.join(hubs, "u", "left").withColumn("part", F.when(F.col("hub").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(HUB_PARTS)).cast("int")))
         return own.join(rest, ["u", "part"], "left").select("u", "v", F.coalesce("hub", "m").alias("m"))
 
