@@ -161,12 +161,14 @@ def missing(files: DataFrame, kept: DataFrame) -> DataFrame:
     return files.where("status = 'indexed'").join(kept.select("rel").unionAll(kept.select(F.explode("dupes").alias("rel"))), "rel", "left_anti")
 
 
-def updated(kept: DataFrame, all_docs: DataFrame, new: DataFrame) -> DataFrame:
+def updated(kept: DataFrame, all_docs: DataFrame, new: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """kept with new documents: every edition that one of them touches is decided again, hidden copies included.
 
-    all_docs has the cards of old and new documents. Equal to a full rebuild.
+    all_docs has the cards as they are now, of old and new documents; before has the former cards of documents that changed, whose editions are
+    decided again too. Equal to a full rebuild.
     """
-    touched = all_docs.join(new.select("rel"), "rel", "left_semi").select(F.col("family").alias("t_family"), F.col("fy").alias("t_fy")).distinct()
+    touched = all_docs.join(new.select("rel"), "rel", "left_semi").select("family", "fy")
+    touched = (touched if before is None else touched.unionAll(before.select("family", "fy"))).toDF("t_family", "t_fy").distinct()
     here = lambda d: (F.col("family") == F.col("t_family")) & F.col("fy").eqNullSafe(F.col("t_fy"))
     again = with_primary(survivors(all_docs.join(touched, here(all_docs), "left_semi")))
     return kept.join(touched, here(kept), "left_anti").unionByName(again)

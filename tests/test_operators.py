@@ -377,3 +377,20 @@ def test_vectors_are_written_in_parts_and_resumed(spark, tmp_path):
     assert vectors.written(more, ["rel"], F.col("t"), path, parts=4, after=done.append).count() == 40 and len(done) == 1
     with pytest.raises(ValueError):
         vectors.written(docs.limit(0), ["rel"], F.col("t"), path)
+
+
+def test_refresh_replaces_a_card_that_changes(spark, tmp_path):
+    arriving, store = str(tmp_path / "in"), str(tmp_path / "store")
+    run = lambda: refresh.refresh(spark, arriving, SCHEMA, store, str(tmp_path / "check")).awaitTermination(120)
+    assert refresh.latest(spark, store) is None
+    spark.createDataFrame(DOCS, SCHEMA).coalesce(1).write.mode("append").parquet(arriving)
+    run()
+    changed = [("a/two draft.txt", "g", "2012-13", 20, 90, "s2"), ("b/x.txt", "f", "2012-13", 99, 5, "s1")]
+    spark.createDataFrame(changed, SCHEMA).coalesce(1).write.mode("append").parquet(arriving)
+    run()
+    now = [r for r in DOCS if r[0] not in {c[0] for c in changed}] + changed
+    columns = ["rel", "family", "fy", "is_primary", "n_dupes"]
+    got = spark.read.parquet(f"{store}/shelf/version={refresh.latest(spark, store)}").select(columns).collect()
+    want = shelf.with_primary(shelf.survivors(spark.createDataFrame(now, SCHEMA))).select(columns).collect()
+    key = lambda r: r.rel
+    assert refresh.latest(spark, store) == 1 and sorted(got, key=key) == sorted(want, key=key)
