@@ -252,3 +252,36 @@ def test_quality_of_ties_and_repeated_rows(spark):
     labels = [(i, i % 2) for i in range(60)] + [(5, 0), (7, 1), (7, 1)]
     got = quality.predicted(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
     assert len(got) == 63 and len({r.score for r in got}) == 2 and all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_quality_weighs_every_pair():
+    """The weights are where the gradient over all pairs, listed, is zero; the threshold is numpy's quantile of all strengths."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(1100, quality.N_FEATURES)).astype(np.float32)
+    label = (x[:, 0] + x[:, 1] + draw.normal(size=1100) > 0).astype(int)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    got = quality.bradley_terry(x, label)
+    z = (x - x.mean(0, dtype=float)) / x.std(0, dtype=float)
+    s = z @ got.weight
+    p = 1 / (1 + np.exp(s[bad][None, :] - s[good][:, None]))
+    pull = z[good].T @ (1 - p).sum(1) - z[bad].T @ (1 - p).sum(0)
+    penalty = np.where(np.arange(x.shape[1]) < quality.SURFACE, 1.0, 100.0)
+    assert len(good) * len(bad) > 200_000
+    assert np.abs(pull * 100_000 / (len(good) * len(bad)) - penalty * got.weight).max() < 0.01
+    assert np.isclose(got.threshold, np.quantile(got.strength(x), len(bad) / len(label)), rtol=1e-12, atol=1e-12)
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    draw = random.Random(9)
+    rows = [(i, " ".join(draw.choice(("a", "Bc", "d!", "$", "ef.", "7")) for _ in range(draw.randint(0, 4)))) for i in range(28_000)]
+    labels = [(i, int(draw.random() < (0.2 if "$" in t else 0.7))) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    use = np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i, _ in rows])
+    x, label = quality.features(pa.array([t for _, t in rows]))[use], np.array([y for _, y in labels])[use]
+    assert len(x) > 20_000
+    want, got = quality.bradley_terry(x, label), quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert np.allclose(got.mean, x.mean(0, dtype=float), atol=1e-9) and np.allclose(got.weight, want.weight, atol=1e-5)
+    assert np.isclose(got.threshold, np.quantile(got.strength(x), (label == 0).mean()), rtol=1e-9, atol=1e-9)
+    packs = quality.labelled(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    once, twice = (quality.totals(packs, 4, direct)(lambda x, label: {"x": x.sum(0, dtype=float)})["x"] for direct in (64, 1))
+    assert np.allclose(once, x.sum(0, dtype=float)) and np.allclose(twice, once)
