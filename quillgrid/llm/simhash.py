@@ -167,9 +167,8 @@ def links(anchor: np.ndarray, fp: np.ndarray, distance: int = 4, buffer: int = 1
     return reduced()
 
 
-def components_of(fps: DataFrame, distance: int = 4, parts: int | None = None) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of (doc_id, fp)."""
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
+def forest(fps: DataFrame, distance: int = 4, parts: int | None = None) -> DataFrame:
+    """(a, b): links between distinct fingerprints that connect all that links connect."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,10 +194,14 @@ def components_of(fps: DataFrame, distance: int = 4, parts: int | None = None) -
         if len(left_a):
             yield out(left_a, left_f)
 
-    spark = fps.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = nodes.select("fp").mapInArrow(spread, "anchor int, fp long").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
-    roots = components(edges)
+    parts = parts or int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fps.select("fp").mapInArrow(spread, "anchor int, fp long").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+
+
+def components_of(fps: DataFrame, distance: int = 4, parts: int | None = None) -> DataFrame:
+    """(fp, component_id) for the distinct fingerprints of (doc_id, fp)."""
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    roots = components(forest(nodes, distance, parts))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("node").alias("component_id"))
     return named.join(least, "root").select("fp", "component_id")

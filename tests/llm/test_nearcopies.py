@@ -3,8 +3,11 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
-from quillgrid.llm import nearcopies
+from quillgrid.llm import bits, nearcopies, simhash
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -46,3 +49,24 @@ def test_near_copies_edges(spark, no_docs, odd_docs):
     kept = nearcopies.representatives(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept.collect()) == [(0, "null "), (7, "other"), (7, "same "), (9, "")]
+
+
+def test_simhash_groups_are_candidates(spark, monkeypatch, tmp_path):
+    """Where no two sets share a band, SimHash alone brings near copies together, chains too."""
+    draw = random.Random(12)
+    rows = []
+    for k in range(6):
+        own = [f"w{draw.randrange(5000)}" for _ in range(300)]
+        rows.append((10 * k, " ".join(own)))
+        while len(rows) % 3:
+            changed = own.copy()
+            changed[draw.randrange(300)] = f"new{draw.randrange(5000)}"
+            a, b = simhash.fingerprint_array(pa.array([" ".join(own), " ".join(changed)])).tolist()
+            if 0 < (a ^ b).bit_count() <= 4:
+                own = changed
+                rows.append((10 * k + len(rows) % 3, " ".join(own)))
+    rows += [(100, ""), (101, None), (102, "a few words")]
+    none = lambda h, count: bits.mix(nearcopies.set_hashes(h, count)[count > 0, None] + np.arange(nearcopies.BANDS, dtype=np.uint64))
+    monkeypatch.setattr(nearcopies, "bands", none)
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [0, 10, 20, 30, 40, 50, 100, 102]
