@@ -361,6 +361,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(learn)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits.release()
         for batch in batches:
             for part in bits.slices(batch, "text", SLICE):
                 own = part.column("label").to_numpy(zero_copy_only=False).astype(np.uint8)
@@ -411,6 +412,7 @@ def scored(docs: DataFrame, ranking: Ranking, column: str = "score") -> DataFram
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits.release()
         for batch in batches:
             for part in bits.slices(batch, "text", SLICE):
                 score = pa.array(ranking.score(features(part.column("text"))))

@@ -86,3 +86,11 @@ def test_short_spans_hash_by_their_bytes_alone():
         assert len(set(seen.values())) == len(seen)
         first = seen if order is not place else first  # noqa: F821
         assert seen == first
+
+
+def test_workers_give_back_the_powers_of_long_texts():
+    data, start, end = np.arange(1 << 18, dtype=np.uint8), np.array([5, 70_000]), np.array([90_000, 200_000])
+    before = bits.Roll(data).spans(start, end)
+    assert sum(p.nbytes for p in bits._POWERS.values()) > 1 << 21
+    bits.release()
+    assert not bits._POWERS and (bits.Roll(data).spans(start, end) == before).all()
