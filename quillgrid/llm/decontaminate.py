@@ -211,6 +211,7 @@ def overlapping(docs: DataFrame, benchmark: DataFrame, least: int = 13, similari
 
 def _by_block(ids: list, texts: list[str], least: int, similarity: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits.release()
         own = None
         for batch in batches:
             own = own or Block(ids, texts)

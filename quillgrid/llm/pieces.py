@@ -233,6 +233,9 @@ def load(proto: bytes) -> Pieces:
     return Pieces(proto)
 
 
+bits.MODELS.append(load.cache_clear)
+
+
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
@@ -266,6 +269,7 @@ def encoded(docs: DataFrame, model: str = MODEL, carry: list[str] | None = None)
                     same = np.array([back[a:b].tobytes() == data[c:d].tobytes() for a, b, c, d in zip(at, at[1:], own, own[1:])], bool)
                 columns = [part.column(f"c{i}") for i in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*columns, lists(ids, offsets), pa.array(np.diff(offsets)), pa.array(same)], [*(f"c{i}" for i in range(len(carry))), "ids", "n_pieces", "round_trip"])
+            bits.release(models=False)
 
     schema = T.StructType([*(T.StructField(f"c{i}", inner.schema[f"c{i}"].dataType) for i in range(len(carry))), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())])
     return inner.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "ids", "n_pieces", "round_trip")

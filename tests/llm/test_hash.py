@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -94,3 +95,22 @@ def test_workers_give_back_the_powers_of_long_texts():
     assert sum(p.nbytes for p in bits._POWERS.values()) > 1 << 21
     bits.release()
     assert not bits._POWERS and (bits.Roll(data).spans(start, end) == before).all()
+
+
+def test_workers_give_back_models_between_stages():
+    with open(pieces.MODEL, "rb") as f:
+        pieces.load(f.read()).encode(pa.array(["some words of a text"]))
+    bits.release(models=False)
+    assert pieces.load.cache_info().currsize == 1
+    bits.release()
+    assert pieces.load.cache_info().currsize == 0
+
+
+def test_anchors_hold_less_than_their_text():
+    column = pa.array([np.random.default_rng(8).integers(97, 123, 1 << 20, np.uint8).tobytes().decode()])
+    suffixes.Anchors(column, 400)  # powers are shared by all
+    tracemalloc.start()
+    held = suffixes.Anchors(column, 400)
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(held.pos) and size < 1 << 20
