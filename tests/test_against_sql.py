@@ -26,7 +26,7 @@ def put(spark, home: str, table: str, rows: list[tuple], schema: str) -> None:
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.mark.parametrize("name", ["dupe_audit_totals"])
+@pytest.mark.parametrize("name", ["dupe_audit_totals", "dupe_audit_worst"])
 def test_audit_of_copies_anywhere(spark, tmp_path, name):
     """Copies that lie beside their keeper, not under 'copies again', are audited by the same rule; a keeper's own path says nothing."""
     text = {i: f"text {i % 5}\nline" for i in range(240)}
