@@ -3,6 +3,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillgrid.operators import vectors
 
 
@@ -30,3 +32,11 @@ def test_best_of_is_exact(kind):
         want = sorted(range(len(v)), key=lambda j: (-exact[q, j], ids[j]))[:9]
         assert found[i == q].tolist() == ids[want].tolist()
         assert np.allclose(score[i == q], exact[q, want])
+
+
+def test_hashed_terms_stay_in_their_task(spark):
+    """No exchange for the terms of a text; a null text and an empty one have the zero vector."""
+    own = vectors.embedded(spark.createDataFrame([(1, "tax tax budget"), (2, None), (3, "")], "id int, t string"), ["id"], F.col("t"))
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.vector for r in own.collect()}
+    assert sorted(abs(round(x * 5**0.5, 9)) for x in got[1] if x) == [1.0, 2.0] and got[2] == got[3] == [0.0] * 64
