@@ -38,7 +38,7 @@ def home(spark, tmp_path):
     return out
 
 
-@pytest.mark.parametrize("name", ["series_receipt", "search_exact", "search_legacy", "search_tiered", "have_verdicts", "inside_caption_label", "exact_grouped", "inside_caption_first", "series_by_family", "cards_bm25_fields", "find", "best_fusion", "rrf_fusion", "search_all"])
+@pytest.mark.parametrize("name", ["series_receipt", "search_exact", "search_legacy", "search_tiered", "have_verdicts", "inside_caption_label", "exact_grouped", "inside_caption_first", "series_by_family", "cards_bm25_fields", "find", "best_fusion", "rrf_fusion", "search_all", "search_any"])
 def test_only_hits_leave(spark, home, name):
     """Before, each word of a document was a row that was sent at least once."""
     (got, want), rows = sent(spark, lambda: differs(spark, name, home, ("documents", "benchmark", "embeddings")))
